@@ -65,14 +65,17 @@ def rank_by_hash(
 def value_prefix(
     df: DataFrame,
     value: str,
+    weight: str | None = None,
     bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS,
 ) -> DataFrame:
     """Histogram ``(value, cnt, before, total)``: rows with the value, rows below it, all rows.
 
-    The histogram has one row per distinct value, so range buckets over it are
-    balanced even if one value holds most rows.
+    With ``weight`` every row counts as that many rows.  The histogram has one
+    row per distinct value, so range buckets over it are balanced even if one
+    value holds most rows.
     """
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col(value).isNotNull())
+    size = F.sum(F.col(weight)).cast("long") if weight else F.count(F.lit(1))
+    hist = df.groupBy(value).agg(size.alias("cnt")).filter(F.col(value).isNotNull())
     n_distinct = hist.count()
     n_buckets = max(1, math.ceil(n_distinct / bucket_rows))
     if n_buckets == 1:

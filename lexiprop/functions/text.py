@@ -57,7 +57,7 @@ def doc_id_from_file_name(file_name: Column) -> Column:
 
 def cut_at_own_id(text: Column, doc_id: Column) -> Column:
     """Keep the text before the first occurrence of its own id (whole text if absent)."""
-    return F.when(F.length(doc_id) == 0, text).otherwise(F.substring_index(text, doc_id, 1))
+    return F.when(F.length(doc_id) == 0, text).otherwise(F.call_function("substring_index", text, doc_id, F.lit(1)))
 
 
 def remove_newlines(text: Column) -> Column:

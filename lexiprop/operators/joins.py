@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a size check, shuffle join otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a small side that may be broadcast (a few MB of keys).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` with ``small``; ``small`` is broadcast only if its row count is within ``max_rows``.
+
+    Beyond the bound this is a plain shuffle join, and AQE's skew-join handling
+    splits hot keys of ``big``.
+    """
+    n_small = small.limit(max_rows + 1).count()
+    right = F.broadcast(small) if n_small <= max_rows else small
+    return big.join(right, on, how)

@@ -6,6 +6,7 @@ import importlib
 
 QUERY_MODULES = (
     "lexiprop.plans.graph_queries",
+    "lexiprop.plans.text_queries",
 )
 
 
