@@ -120,26 +120,34 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return sym.filter(F.col("weight") != 0.0)
 
 
+def _keys(edges: DataFrame) -> list[str]:
+    """Extra key columns of a per-split graph (``split_id``), empty for a shared graph."""
+    return ["split_id"] if "split_id" in edges.columns else []
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """L3: row sums of the weights."""
-    return edges.groupBy("src").agg(F.sum("weight").alias("degree"))
+    return edges.groupBy(*_keys(edges), "src").agg(F.sum("weight").alias("degree"))
 
 
 def transition(edges: DataFrame) -> DataFrame:
     """L4: row-normalised P = D^-1 A (degree by aggregation + join, skew-safe)."""
+    keys = _keys(edges)
     deg = degrees(edges)
-    return edges.join(deg, "src").select(
-        "src", "dst", F.try_divide(F.col("weight"), F.col("degree")).alias("p")
+    return edges.join(deg, [*keys, "src"]).select(
+        *keys, "src", "dst", F.try_divide(F.col("weight"), F.col("degree")).alias("p")
     )
 
 
 def symmetric_normalized(edges: DataFrame) -> DataFrame:
     """S = D^-1/2 A D^-1/2 with row-sum degrees on both sides."""
+    keys = _keys(edges)
     deg = degrees(edges)
-    ds = deg.select(F.col("src"), F.col("degree").alias("d_src"))
-    dd = deg.select(F.col("src").alias("dst"), F.col("degree").alias("d_dst"))
-    joined = edges.join(ds, "src").join(dd, "dst")
+    ds = deg.select(*keys, F.col("src"), F.col("degree").alias("d_src"))
+    dd = deg.select(*keys, F.col("src").alias("dst"), F.col("degree").alias("d_dst"))
+    joined = edges.join(ds, [*keys, "src"]).join(dd, [*keys, "dst"])
     return joined.select(
+        *keys,
         "src",
         "dst",
         F.try_divide(F.col("weight"), F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("s"),

@@ -56,10 +56,11 @@ def label_propagation(
     split_ids = _split_ids(labels)
     p = transition(edges)
     labelled = seeds.select("split_id", F.col("word").alias("src"))
+    if "split_id" not in p.columns:
+        p = p.select(F.explode(F.array(*[F.lit(s) for s in split_ids])).alias("split_id"), "src", "dst", "p")
     # edges out of unlabelled nodes only (labelled rows are reset every step)
     p_unl = (
-        p.select(F.explode(F.array(*[F.lit(s) for s in split_ids])).alias("split_id"), "src", "dst", "p")
-        .join(labelled, ["split_id", "src"], "left_anti")
+        p.join(labelled, ["split_id", "src"], "left_anti")
         .repartition("split_id", "dst")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -85,12 +86,14 @@ def label_spreading(
 ) -> DataFrame:
     """Y <- alpha S Y + (1 - alpha) Y0 (seeds mixed, not clamped); returns the state."""
     seeds = one_hot(labels)
-    s = symmetric_normalized(edges).repartition("dst").persist(StorageLevel.MEMORY_AND_DISK)
+    s = symmetric_normalized(edges)
+    on = ["split_id", "dst"] if "split_id" in s.columns else ["dst"]
+    s = s.repartition(*on).persist(StorageLevel.MEMORY_AND_DISK)
     base = seeds.select("split_id", "word", "synset", (F.col("score") * (1.0 - alpha)).alias("score"))
     state = seeds
     for step in range(1, iterations + 1):
         moved = (
-            s.join(state.withColumnRenamed("word", "dst"), "dst")
+            s.join(state.withColumnRenamed("word", "dst"), on)
             .select("split_id", F.col("src").alias("word"), "synset", (F.lit(alpha) * F.col("s") * F.col("score")).alias("score"))
         )
         state = (

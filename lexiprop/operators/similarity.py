@@ -44,6 +44,7 @@ def similarity_join(
     radius: float | None = None,
     exclude_same_id: bool = False,
     exclude_key: str | None = None,
+    by: str | None = None,
     block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs ``(src, dst, score)`` between ``left`` and ``right`` vectors.
@@ -55,6 +56,8 @@ def similarity_join(
     * ``exclude_same_id``: skip pairs whose ids are equal (self pairs).
     * ``exclude_key``: column present on both sides; pairs whose values are
       equal and not null are skipped (e.g. a synset and its own train words).
+    * ``by``: column present on both sides; only rows with equal values pair up
+      (e.g. ``split_id``), and it is kept in the output.
     """
     if (k is None) == (radius is None):
         raise ValueError("give exactly one of k or radius")
@@ -76,7 +79,9 @@ def similarity_join(
 
     ex_l = F.col(exclude_key).cast(ex_type) if exclude_key else F.lit(None).cast(ex_type)
     ex_r = F.col(exclude_key).cast(ex_type) if exclude_key else F.lit(None).cast(ex_type)
+    by_col = F.col(by) if by else F.lit(0)
     lsel = left.select(
+        by_col.alias("part"),
         F.pmod(F.xxhash64(F.col(left_id)), F.lit(b_left)).alias("lb"),
         F.explode(F.sequence(F.lit(0), F.lit(b_right - 1))).alias("rb"),
         F.lit(0).alias("side"),
@@ -85,6 +90,7 @@ def similarity_join(
         ex_l.alias("ex"),
     )
     rsel = right.select(
+        by_col.alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(b_left - 1))).alias("lb"),
         F.pmod(F.xxhash64(F.col(right_id)), F.lit(b_right)).alias("rb"),
         F.lit(1).alias("side"),
@@ -109,8 +115,9 @@ def similarity_join(
     def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         lpart = pdf[pdf["side"] == 0]
         rpart = pdf[pdf["side"] == 1]
+        part_value = pdf["part"].iloc[0]
         if lpart.empty or rpart.empty:
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
+            return pd.DataFrame({"part": [], "src": [], "dst": [], "score": []})
         lmat = np.stack(lpart["v"].to_numpy()).astype(np.float64, copy=False)
         rmat = np.stack(rpart["v"].to_numpy()).astype(np.float64, copy=False)
         lkeys = lpart["key"].to_numpy()
@@ -158,13 +165,16 @@ def similarity_join(
             dsts.append(rkeys[cols])
             scores.append(sc)
         if not srcs:
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
+            return pd.DataFrame({"part": [], "src": [], "dst": [], "score": []})
+        src = np.concatenate(srcs)
         return pd.DataFrame(
-            {"src": np.concatenate(srcs), "dst": np.concatenate(dsts), "score": np.concatenate(scores)}
+            {"part": np.repeat(part_value, len(src)), "src": src, "dst": np.concatenate(dsts), "score": np.concatenate(scores)}
         )
 
-    pairs = both.groupBy("lb", "rb").applyInPandas(block_pairs, out_schema)
+    out_schema = T.StructType([T.StructField("part", left.schema[by].dataType if by else T.IntegerType())] + out_schema.fields)
+    pairs = both.groupBy("part", "lb", "rb").applyInPandas(block_pairs, out_schema)
     pairs = pairs.select(
+        *([F.col("part").alias(by)] if by else []),
         F.col("src").cast(id_types["src"]).alias("src"),
         F.col("dst").cast(id_types["dst"]).alias("dst"),
         "score",
@@ -172,5 +182,5 @@ def similarity_join(
     if k is None:
         return pairs
     order = F.col("score").desc() if use_dot else F.col("score").asc()
-    w = Window.partitionBy("src").orderBy(order, F.col("dst").asc())
+    w = Window.partitionBy(*([by] if by else []), "src").orderBy(order, F.col("dst").asc())
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -271,3 +271,44 @@ STATS_SELECT = (
     + ", ".join(r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max"))
     + ", sum_preds, max_group_id from stats"
 )
+
+
+def synset_vector_ctes(k: int):
+    """E5/E6 over ``nv`` (normalised vectors) and ``train``."""
+    return [
+        ("tv", "select t.split_id, t.synset, nv.vector from train t join nv using (word)"),
+        ("svcomp", "select split_id, synset, unnest(range(len(vector))) as i, unnest(vector) as x from tv"),
+        ("svmean", "select split_id, synset, i, avg(x) as x from svcomp group by split_id, synset, i"),
+        ("svraw", "select split_id, synset, list(x order by i) as vector from svmean group by split_id, synset"),
+        ("sv", "select split_id, synset, list_transform(vector, lambda x: case when nrm > 0 then x / nrm else x end) as vector "
+               "from (select *, sqrt(list_sum(list_transform(vector, lambda y: y * y))) as nrm from svraw)"),
+        ("sims", "select s.split_id, s.synset, w.word, list_dot_product(s.vector, w.vector) as similarity from sv s, nv w "
+                 "where not exists (select 1 from train t where t.split_id = s.split_id and t.word = w.word and t.synset = s.synset)"),
+        ("topk", "select * from (select *, row_number() over (partition by split_id, synset order by similarity desc, word) as rank "
+                 f"from sims) where rank <= {int(k)}"),
+    ]
+
+
+def ls_split_ctes(iterations: int, alpha: float):
+    """Label spreading over a per-split graph ``edges(split_id, src, dst, weight)``."""
+    ctes = [
+        ("deg", "select split_id, src, sum(weight) as d from edges group by split_id, src"),
+        (
+            "smat",
+            "select e.split_id, e.src, e.dst, e.weight / sqrt(a.d * b.d) as s from edges e "
+            "join deg a on a.split_id = e.split_id and a.src = e.src join deg b on b.split_id = e.split_id and b.src = e.dst",
+        ),
+        ("st0", "select split_id, word, synset, score from seeds"),
+    ]
+    for i in range(1, iterations + 1):
+        ctes.append(
+            (
+                f"st{i}",
+                "select split_id, word, synset, sum(score) as score from ("
+                f"select st.split_id, m.src as word, st.synset, {alpha} * m.s * st.score as score "
+                f"from smat m join st{i - 1} st on m.split_id = st.split_id and m.dst = st.word "
+                f"union all select split_id, word, synset, score * (1.0 - {alpha}) from seeds) "
+                "group by split_id, word, synset",
+            )
+        )
+    return ctes

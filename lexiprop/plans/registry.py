@@ -7,6 +7,7 @@ import importlib
 QUERY_MODULES = (
     "lexiprop.plans.graph_queries",
     "lexiprop.plans.text_queries",
+    "lexiprop.plans.baseline_queries",
 )
 
 
