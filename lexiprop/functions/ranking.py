@@ -125,4 +125,6 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     pre = value_prefix(df, value).select(
         value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out)
     )
-    return df.join(pre, value, "left")
+    from lexiprop.operators.joins import join_small
+
+    return join_small(df, pre, value, "left")

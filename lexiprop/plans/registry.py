@@ -8,6 +8,7 @@ QUERY_MODULES = (
     "lexiprop.plans.graph_queries",
     "lexiprop.plans.text_queries",
     "lexiprop.plans.baseline_queries",
+    "lexiprop.plans.review_queries",
 )
 
 
