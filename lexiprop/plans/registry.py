@@ -9,6 +9,7 @@ QUERY_MODULES = (
     "lexiprop.plans.text_queries",
     "lexiprop.plans.baseline_queries",
     "lexiprop.plans.review_queries",
+    "lexiprop.plans.io_queries",
 )
 
 
