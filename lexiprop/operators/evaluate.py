@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiprop.operators.splits import test_part, train_part
+from lexiprop.session import cut_lineage
 
 
 def evaluation_table(predictions: DataFrame, split: DataFrame) -> DataFrame:
@@ -94,8 +95,14 @@ def test_stats(evaluation: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(evaluation: DataFrame) -> DataFrame:
-    """A1: every statistic of a run in one row per split (flat columns)."""
+def evaluate(evaluation: DataFrame, materialize: bool = True) -> DataFrame:
+    """A1: every statistic of a run in one row per split (flat columns).
+
+    The evaluation table feeds two aggregations; with ``materialize`` it is
+    written to the checkpoint folder once instead of being recomputed per branch.
+    """
+    if materialize:
+        evaluation = cut_lineage(evaluation)
     return test_stats(evaluation).join(group_size_stats(evaluation), "split_id", "left")
 
 

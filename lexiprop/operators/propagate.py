@@ -49,11 +49,15 @@ def _split_ids(labels: DataFrame) -> list[int]:
 
 
 def label_propagation(
-    edges: DataFrame, labels: DataFrame, iterations: int = 3, checkpoint_every: int = 5
+    edges: DataFrame,
+    labels: DataFrame,
+    iterations: int = 3,
+    checkpoint_every: int = 5,
+    split_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Y <- D^-1 A Y, then labelled rows reset to their seeds; returns the state."""
     seeds = one_hot(labels)
-    split_ids = _split_ids(labels)
+    split_ids = list(split_ids) if split_ids is not None else _split_ids(labels)
     p = transition(edges)
     labelled = seeds.select("split_id", F.col("word").alias("src"))
     if "split_id" not in p.columns:
@@ -148,10 +152,11 @@ def propagate(
     iterations: int = 3,
     alpha: float = 0.2,
     checkpoint_every: int = 5,
+    split_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Method dispatch; an unknown method raises like the reference."""
     if method == "label_propagation":
-        state = label_propagation(edges, labels, iterations, checkpoint_every)
+        state = label_propagation(edges, labels, iterations, checkpoint_every, split_ids)
     elif method == "label_spreading":
         state = label_spreading(edges, labels, iterations, alpha, checkpoint_every)
     else:

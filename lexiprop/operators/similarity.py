@@ -73,7 +73,7 @@ def similarity_join(
     ex_type = left.schema[exclude_key].dataType if exclude_key else T.IntegerType()
 
     n_left = left.count()
-    n_right = right.count()
+    n_right = n_left if right is left else right.count()
     b_left = _blocks(n_left, block_rows)
     b_right = _blocks(n_right, block_rows)
 

@@ -75,12 +75,16 @@ def expand_thesaurus(
     split = split or SplitOptions()
     diffusion = diffusion or DiffusionOptions()
     edges = build_graph(vectors, graph, materialize_graph)
-    parts = sp.split_thesaurus(
-        thesaurus.select("word", "synset"), split.variant, frac=split.frac, n_test=split.n_test, seeds=split.seeds
+    # the split feeds the seeds of every step and the evaluation: written once
+    parts = cut_lineage(
+        sp.split_thesaurus(
+            thesaurus.select("word", "synset"), split.variant, frac=split.frac, n_test=split.n_test, seeds=split.seeds
+        )
     )
     labels = pr.seed_labels(vectors.select("word"), sp.train_part(parts), split.seeds)
     predictions = pr.propagate(
-        edges, labels, diffusion.method, diffusion.iterations, diffusion.alpha, diffusion.checkpoint_every
+        edges, labels, diffusion.method, diffusion.iterations, diffusion.alpha, diffusion.checkpoint_every,
+        split_ids=split.seeds,
     )
     return ev.evaluation_table(predictions, parts), parts
 
