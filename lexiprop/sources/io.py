@@ -45,17 +45,16 @@ def write_clean_corpus(clean: DataFrame, path: str, single_line: bool, mode: str
     """The cleaned corpus as text.
 
     Every document is written as its text plus one space.  Multiple-lines mode
-    ends each document with a newline; single-line mode writes no separator, so
-    the part files (range-partitioned by ``doc_id``, in order) concatenate to
-    the one-line corpus.
+    ends each document with a newline; single-line mode uses the space itself
+    as the record separator, so the part files (range-partitioned by
+    ``doc_id``, in order) concatenate to the one-line corpus.
     """
-    rows = clean.select("doc_id", F.concat(F.col("clean"), F.lit(" ")).alias("value"))
     if single_line:
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.mode(mode).option(
-            "lineSep", ""
-        ).text(path)
+        clean.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("clean").alias("value")).write.mode(
+            mode
+        ).option("lineSep", " ").text(path)
     else:
-        rows.select("value").write.mode(mode).text(path)
+        clean.select(F.concat(F.col("clean"), F.lit(" ")).alias("value")).write.mode(mode).text(path)
 
 
 # --- embeddings -------------------------------------------------------------------
@@ -123,7 +122,7 @@ def read_thesaurus_sequence(spark: SparkSession, path: str) -> DataFrame:
     Objects never nest here, so the boundaries ``}`` ... ``{`` turn the file
     into an array that ``from_json`` parses.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_name").alias("_file")
     )
     as_array = F.concat(F.lit("["), F.regexp_replace(F.trim(F.col("value")), r"\}\s*\{", "},{"), F.lit("]"))
