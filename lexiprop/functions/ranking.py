@@ -79,7 +79,14 @@ def value_prefix(
     n_distinct = hist.count()
     n_buckets = max(1, math.ceil(n_distinct / bucket_rows))
     if n_buckets == 1:
-        bucketed = hist.withColumn("_bucket", F.lit(0))
+        # at most ``bucket_rows`` distinct values: one ordered window, no join
+        w_below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(
+            value,
+            "cnt",
+            F.coalesce(F.sum("cnt").over(w_below), F.lit(0)).alias("before"),
+            F.sum("cnt").over(Window.partitionBy()).alias("total"),
+        )
     else:
         # bucket bounds from approximate quantiles of the distinct values (n_buckets numbers)
         probs = [i / n_buckets for i in range(1, n_buckets)]
