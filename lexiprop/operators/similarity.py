@@ -1,16 +1,16 @@
 """Exact all-pairs similarity join over vectors, blocked for bounded memory.
 
-Both inputs are hashed into blocks of at most ``block_rows`` rows.  Every left
-row is sent to each right block and vice versa, so one group holds exactly one
-left block and one right block; the dense product of the two blocks runs in
-numpy on Arrow batches (``applyInPandas``) and only the local top-k per left row
-(or the pairs within the radius) leave the task.  The second shuffle therefore
-carries at most ``n_left * right_blocks * k`` rows, and the final top-k is a
+Both inputs are hashed into blocks (uniform, since ids are unique).  Every left
+block meets every right block in one ``applyInPandas`` group; the dense product
+of the two blocks runs in numpy on Arrow batches and only the local top-k per
+row (or the pairs within the radius) leave the task.  The second shuffle
+therefore carries at most ``rows * blocks * k`` rows, and the final top-k is a
 ``row_number`` window that Spark limits map-side (``WindowGroupLimit``).
 
-Hash blocks are uniform whatever the key distribution (ids are unique), so no
-group can become hot.  Replication is ``right_blocks`` copies of each left row:
-the block size trades replication against per-task memory.
+Self joins (``right is left``) use unordered block pairs ``p <= q``: each row is
+replicated to ``B`` groups instead of ``2B`` and one block product serves both
+directions.  The block size follows a per-side memory budget, so a group holds
+at most two blocks of ``_SIDE_CELLS`` doubles whatever the input size.
 """
 
 from __future__ import annotations
@@ -23,15 +23,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 20_000
+# Doubles per block side (64 MB); the block row count is this over the dimension.
+_SIDE_CELLS = 1 << 23
 # Upper bound for one block-product chunk (float64 cells).
 _CHUNK_CELLS = 1 << 23
+DEFAULT_BLOCK_ROWS = None  # derived from the vector dimension
 
 
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / max(1, block_rows)))
 
 
+def _size(df: DataFrame, vec: str) -> tuple[int, int]:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    return int(row["n"]), int(row["d"] or 1)
+
+
+def _closest(key: np.ndarray, k: int | None, r2: float | None):
+    """Row/column indices of the k smallest entries per row (ties at the k-th kept) or entries <= r2."""
+    if k is not None:
+        take = min(k, key.shape[1])
+        kth = np.partition(key, take - 1, axis=1)[:, take - 1 : take]
+        return np.nonzero((key <= kth) & np.isfinite(key))
+    return np.nonzero(key <= r2 + 1e-9)
+
+
 def similarity_join(
     left: DataFrame,
     right: DataFrame,
@@ -45,13 +61,13 @@ def similarity_join(
     exclude_same_id: bool = False,
     exclude_key: str | None = None,
     by: str | None = None,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs ``(src, dst, score)`` between ``left`` and ``right`` vectors.
 
     * ``metric='euclidean'``: score is the Euclidean distance, smaller is closer.
     * ``metric='dot'``: score is the dot product, larger is closer.
-    * ``k``: keep the k closest right rows per left row (ties by ``dst``).
+    * ``k``: keep the k closest right rows per left row (ties by ``dst``), adds ``rank``.
     * ``radius``: keep every pair with distance <= radius (euclidean only).
     * ``exclude_same_id``: skip pairs whose ids are equal (self pairs).
     * ``exclude_key``: column present on both sides; pairs whose values are
@@ -66,42 +82,46 @@ def similarity_join(
     if metric not in ("euclidean", "dot"):
         raise NotImplementedError(metric)
 
-    id_types = {
-        "src": left.schema[left_id].dataType,
-        "dst": right.schema[right_id].dataType,
-    }
+    symmetric = right is left and left_id == right_id
+    src_type = left.schema[left_id].dataType
+    dst_type = right.schema[right_id].dataType
     ex_type = left.schema[exclude_key].dataType if exclude_key else T.IntegerType()
+    part_type = left.schema[by].dataType if by else T.IntegerType()
+
+    n_left, dims = _size(left, vec)
+    n_right = n_left if symmetric else _size(right, vec)[0]
+    rows_per_block = block_rows or max(1_000, _SIDE_CELLS // max(1, dims))
+    b_left = _blocks(n_left, rows_per_block)
+    b_right = b_left if symmetric else _blocks(n_right, rows_per_block)
+
+    def prepared(df: DataFrame, id_col: str, side: int) -> DataFrame:
+        return df.select(
+            (F.col(by) if by else F.lit(0)).cast(part_type).alias("part"),
+            F.lit(side).alias("side"),
+            F.col(id_col).cast(T.StringType()).alias("key"),
+            F.col(vec).cast("array<double>").alias("v"),
+            (F.col(exclude_key).cast(ex_type) if exclude_key else F.lit(None).cast(ex_type)).alias("ex"),
+            F.pmod(F.xxhash64(F.col(id_col)), F.lit(b_left if side == 0 else b_right)).cast("int").alias("blk"),
+        )
 
-    n_left = left.count()
-    n_right = n_left if right is left else right.count()
-    b_left = _blocks(n_left, block_rows)
-    b_right = _blocks(n_right, block_rows)
-
-    ex_l = F.col(exclude_key).cast(ex_type) if exclude_key else F.lit(None).cast(ex_type)
-    ex_r = F.col(exclude_key).cast(ex_type) if exclude_key else F.lit(None).cast(ex_type)
-    by_col = F.col(by) if by else F.lit(0)
-    lsel = left.select(
-        by_col.alias("part"),
-        F.pmod(F.xxhash64(F.col(left_id)), F.lit(b_left)).alias("lb"),
-        F.explode(F.sequence(F.lit(0), F.lit(b_right - 1))).alias("rb"),
-        F.lit(0).alias("side"),
-        F.col(left_id).cast(T.StringType()).alias("key"),
-        F.col(vec).cast("array<double>").alias("v"),
-        ex_l.alias("ex"),
-    )
-    rsel = right.select(
-        by_col.alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(b_left - 1))).alias("lb"),
-        F.pmod(F.xxhash64(F.col(right_id)), F.lit(b_right)).alias("rb"),
-        F.lit(1).alias("side"),
-        F.col(right_id).cast(T.StringType()).alias("key"),
-        F.col(vec).cast("array<double>").alias("v"),
-        ex_r.alias("ex"),
-    )
-    both = lsel.unionByName(rsel)
+    if symmetric:
+        rows = prepared(left, left_id, 0)
+        both = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_left - 1))).alias("_o")).select(
+            "part", "side", "key", "v", "ex", "blk",
+            F.least("blk", "_o").alias("lb"), F.greatest("blk", "_o").alias("rb"),
+        )
+    else:
+        lrows = prepared(left, left_id, 0).select(
+            "*", F.col("blk").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(b_right - 1))).alias("rb")
+        )
+        rrows = prepared(right, right_id, 1).select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(b_left - 1))).alias("lb"), F.col("blk").alias("rb")
+        )
+        both = lrows.unionByName(rrows)
 
     out_schema = T.StructType(
         [
+            T.StructField("part", part_type),
             T.StructField("src", T.StringType()),
             T.StructField("dst", T.StringType()),
             T.StructField("score", T.DoubleType()),
@@ -112,29 +132,37 @@ def similarity_join(
     use_dot = metric == "dot"
     same_id = exclude_same_id
 
-    def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        lpart = pdf[pdf["side"] == 0]
-        rpart = pdf[pdf["side"] == 1]
-        part_value = pdf["part"].iloc[0]
-        if lpart.empty or rpart.empty:
-            return pd.DataFrame({"part": [], "src": [], "dst": [], "score": []})
-        lmat = np.stack(lpart["v"].to_numpy()).astype(np.float64, copy=False)
-        rmat = np.stack(rpart["v"].to_numpy()).astype(np.float64, copy=False)
-        lkeys = lpart["key"].to_numpy()
-        rkeys = rpart["key"].to_numpy()
-        lex = lpart["ex"].to_numpy()
-        rex = rpart["ex"].to_numpy()
+    def emit(amat, bmat, akeys, bkeys, ai, bi, out):
+        if len(ai) == 0:
+            return
+        if use_dot:
+            sc = np.einsum("ij,ij->i", amat[ai], bmat[bi])
+        else:
+            diff = amat[ai] - bmat[bi]
+            sc = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            if r2 is not None:
+                keep = sc <= radius
+                ai, bi, sc = ai[keep], bi[keep], sc[keep]
+        out.append((akeys[ai], bkeys[bi], sc))
+
+    def local_pairs(lmat, rmat, lkeys, rkeys, lex, rex, both_ways, out):
+        """Closest pairs of every left row (and, if ``both_ways``, of every right row).
+
+        Memory stays at one chunk of the block product: the right rows' k-th
+        closest values are kept as a running partition over chunks, and a
+        second pass emits every entry within them (ties included).
+        """
         rnorm = np.einsum("ij,ij->i", rmat, rmat)
+        lnorm = np.einsum("ij,ij->i", lmat, lmat)
         chunk = max(1, _CHUNK_CELLS // max(1, len(rmat)))
-        srcs, dsts, scores = [], [], []
-        for start in range(0, len(lmat), chunk):
-            lm = lmat[start : start + chunk]
-            prod = lm @ rmat.T
+        starts = range(0, len(lmat), chunk)
+
+        def chunk_key(start):
+            prod = lmat[start : start + chunk] @ rmat.T
             if use_dot:
                 key = -prod  # smaller is closer
             else:
-                lnorm = np.einsum("ij,ij->i", lm, lm)
-                key = np.maximum(lnorm[:, None] + rnorm[None, :] - 2.0 * prod, 0.0)
+                key = np.maximum(lnorm[start : start + chunk][:, None] + rnorm[None, :] - 2.0 * prod, 0.0)
             mask = np.zeros(key.shape, dtype=bool)
             if same_id:
                 mask |= lkeys[start : start + chunk][:, None] == rkeys[None, :]
@@ -142,41 +170,65 @@ def similarity_join(
             if pd.notna(lx).any() and pd.notna(rex).any():
                 lxa = lx[:, None]
                 mask |= (lxa == rex[None, :]) & pd.notna(lxa) & pd.notna(rex)[None, :]
-            key = np.where(mask, np.inf, key)
-            if kk is not None:
-                take = min(kk, key.shape[1])
-                # candidates: the k smallest plus every value equal to the k-th (exact ties)
-                part = np.partition(key, take - 1, axis=1)[:, take - 1 : take]
-                rows, cols = np.nonzero((key <= part) & np.isfinite(key))
-            else:
-                rows, cols = np.nonzero(key <= r2 + 1e-9)
-            if len(rows) == 0:
+            return np.where(mask, np.inf, key)
+
+        col_best = None
+        for start in starts:
+            key = chunk_key(start)
+            ri, ci = _closest(key, kk, r2)
+            emit(lmat, rmat, lkeys, rkeys, ri + start, ci, out)
+            if not both_ways:
                 continue
-            li = rows + start
-            diff = lmat[li] - rmat[cols]
-            if use_dot:
-                sc = np.einsum("ij,ij->i", lmat[li], rmat[cols])
+            if kk is None:
+                ri, ci = np.nonzero(key <= r2 + 1e-9)
+                emit(rmat, lmat, rkeys, lkeys, ci, ri + start, out)
             else:
-                sc = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                if r2 is not None:
-                    keep = sc <= radius
-                    li, cols, sc = li[keep], cols[keep], sc[keep]
-            srcs.append(lkeys[li])
-            dsts.append(rkeys[cols])
-            scores.append(sc)
-        if not srcs:
+                cand = key.T if col_best is None else np.hstack([col_best, key.T])
+                take = min(kk, cand.shape[1])
+                col_best = np.partition(cand, take - 1, axis=1)[:, :take]
+        if both_ways and kk is not None:
+            kth = col_best.max(axis=1)
+            for start in starts:
+                key = chunk_key(start)
+                ri, ci = np.nonzero((key <= kth[None, :]) & np.isfinite(key))
+                emit(rmat, lmat, rkeys, lkeys, ci, ri + start, out)
+
+    def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        part_value = pdf["part"].iloc[0]
+        lb, rb = int(pdf["lb"].iloc[0]), int(pdf["rb"].iloc[0])
+        if symmetric:
+            lpart, rpart, both_ways = pdf[pdf["blk"] == lb], pdf[pdf["blk"] == rb], lb != rb
+        else:
+            lpart, rpart, both_ways = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], False
+        out: list = []
+        if not lpart.empty and not rpart.empty:
+            local_pairs(
+                np.stack(lpart["v"].to_numpy()).astype(np.float64, copy=False),
+                np.stack(rpart["v"].to_numpy()).astype(np.float64, copy=False),
+                lpart["key"].to_numpy(),
+                rpart["key"].to_numpy(),
+                lpart["ex"].to_numpy(),
+                rpart["ex"].to_numpy(),
+                both_ways,
+                out,
+            )
+        if not out:
             return pd.DataFrame({"part": [], "src": [], "dst": [], "score": []})
-        src = np.concatenate(srcs)
+        src = np.concatenate([o[0] for o in out])
         return pd.DataFrame(
-            {"part": np.repeat(part_value, len(src)), "src": src, "dst": np.concatenate(dsts), "score": np.concatenate(scores)}
+            {
+                "part": np.repeat(part_value, len(src)),
+                "src": src,
+                "dst": np.concatenate([o[1] for o in out]),
+                "score": np.concatenate([o[2] for o in out]),
+            }
         )
 
-    out_schema = T.StructType([T.StructField("part", left.schema[by].dataType if by else T.IntegerType())] + out_schema.fields)
     pairs = both.groupBy("part", "lb", "rb").applyInPandas(block_pairs, out_schema)
     pairs = pairs.select(
         *([F.col("part").alias(by)] if by else []),
-        F.col("src").cast(id_types["src"]).alias("src"),
-        F.col("dst").cast(id_types["dst"]).alias("dst"),
+        F.col("src").cast(src_type).alias("src"),
+        F.col("dst").cast(dst_type).alias("dst"),
         "score",
     )
     if k is None:
