@@ -19,6 +19,7 @@ from lexiprop.functions.vectors import l2_normalize
 from lexiprop.operators.evaluate import evaluation_table
 from lexiprop.operators.similarity import similarity_join
 from lexiprop.operators.splits import test_part, train_part
+from lexiprop.session import cut_lineage
 
 NO_SIMILARITY = -100.0  # fixed value: confidence of a word no synset reached
 SWEEP_KS = (2, 4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 26, 28, 30)  # fixed values
@@ -185,7 +186,7 @@ def bipartite_spreading(
     synsets = train_part(split).select("split_id", "synset").distinct().select(
         "split_id", synset_node_name(F.col("synset")).alias("word"), F.col("synset").cast("int").alias("y_train")
     )
-    labels = synsets.unionByName(words)
+    labels = cut_lineage(synsets.unionByName(words))  # read by every step's seeds and the final join
     state = label_spreading(edges, labels, iterations, alpha, checkpoint_every)
     preds = finalize(state, labels).join(words.select("split_id", "word"), ["split_id", "word"], "left_semi")
     word_type = unit_vectors.schema["word"].dataType

@@ -154,7 +154,14 @@ def propagate(
     checkpoint_every: int = 5,
     split_ids: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Method dispatch; an unknown method raises like the reference."""
+    """Method dispatch; an unknown method raises like the reference.
+
+    ``labels`` (one row per node and split) feed the seeds of every step and the
+    final join, so they are written to the checkpoint folder once.
+    """
+    if method not in METHODS:
+        raise NotImplementedError(method)
+    labels = cut_lineage(labels)
     if method == "label_propagation":
         state = label_propagation(edges, labels, iterations, checkpoint_every, split_ids)
     elif method == "label_spreading":

@@ -11,6 +11,7 @@ from lexiprop.operators import graph as gr
 from lexiprop.operators import splits as sp
 from lexiprop.plans import oracle as o
 from lexiprop.plans.expansion import rounded
+from lexiprop.session import cut_lineage
 from lexiprop.plans.graph_queries import STATS_COLS
 
 QUERIES: dict = {}
@@ -32,7 +33,8 @@ def register(name, sql):
 def _inputs(spark, sf_dir, seeds):
     vec = fx.vec_fx(spark, sf_dir)
     unit = gr.normalize_vectors(vec.select("word", "vector"))
-    split = sp.split_thesaurus(vec.select("word", "synset"), seeds=seeds)
+    # the split is read by several branches (synset vectors, exclusions, tests): written once
+    split = cut_lineage(sp.split_thesaurus(vec.select("word", "synset"), seeds=seeds))
     return vec, unit, split
 
 
