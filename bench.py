@@ -26,6 +26,7 @@ HEADLINE = (
     "bipartite_ls_stats",
     "pair_overlap",
     "embed_word2vec",
+    "expansion_end_to_end",
 )
 
 

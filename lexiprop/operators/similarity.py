@@ -30,6 +30,16 @@ _CHUNK_CELLS = 1 << 23
 DEFAULT_BLOCK_ROWS = None  # derived from the vector dimension
 
 
+_MIN_BLOCK_ROWS = 256
+
+
+def _parallelism(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - e.g. no SparkContext on this client
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / max(1, block_rows)))
 
@@ -93,6 +103,16 @@ def similarity_join(
     rows_per_block = block_rows or max(1_000, _SIDE_CELLS // max(1, dims))
     b_left = _blocks(n_left, rows_per_block)
     b_right = b_left if symmetric else _blocks(n_right, rows_per_block)
+    if block_rows is None:
+        # enough block pairs to keep every core busy (blocks of at least _MIN_BLOCK_ROWS)
+        want = 2 * _parallelism(left)
+        if symmetric:
+            b_par = 1
+            while b_par * (b_par + 1) // 2 < want:
+                b_par += 1
+            b_left = b_right = max(b_left, min(b_par, _blocks(n_left, _MIN_BLOCK_ROWS)))
+        else:
+            b_right = max(b_right, min(math.ceil(want / b_left), _blocks(n_right, _MIN_BLOCK_ROWS)))
 
     def prepared(df: DataFrame, id_col: str, side: int) -> DataFrame:
         return df.select(

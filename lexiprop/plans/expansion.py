@@ -12,7 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiprop.functions.text import DEFAULT_CORPUS_ACTIONS
 from lexiprop.operators import evaluate as ev
+from lexiprop.operators.corpus import clean_corpus, sentences
+from lexiprop.operators.embed import train_embeddings
+from lexiprop.operators.thesaurus import DEFAULT_THESAURUS_ACTIONS, clean_thesaurus
+from lexiprop.operators.vocab import cooccurrence, vocabulary
 from lexiprop.operators import graph as gr
 from lexiprop.operators import propagate as pr
 from lexiprop.operators import splits as sp
@@ -98,3 +103,52 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+@dataclass
+class CorpusOptions:
+    actions: Sequence[str] = field(default_factory=lambda: tuple(DEFAULT_CORPUS_ACTIONS))
+    max_texts: int | None = None
+
+
+@dataclass
+class EmbeddingOptions:
+    method: str = "word2vec"
+    size: int = 100
+    iterations: int = 5
+    window: int = 5
+
+
+def expand_from_corpus(
+    corpus: DataFrame,
+    concepts: DataFrame,
+    corpus_opts: CorpusOptions | None = None,
+    embedding: EmbeddingOptions | None = None,
+    thesaurus_actions: Sequence[str] = DEFAULT_THESAURUS_ACTIONS,
+    graph: GraphOptions | None = None,
+    split: SplitOptions | None = None,
+    diffusion: DiffusionOptions | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """All eight stages: clean the corpus, train embeddings, build the graph, clean the
+    thesaurus against the embedding vocabulary, split, diffuse and evaluate.
+
+    ``corpus``: ``(doc_id, text)``; ``concepts``: ``(concept, pos, class, keys)``.
+    Returns ``(evaluation_table, split)``.  The embeddings are written to the
+    checkpoint folder once (graph, vocabulary and thesaurus all read them).
+    """
+    corpus_opts = corpus_opts or CorpusOptions()
+    embedding = embedding or EmbeddingOptions()
+    clean = clean_corpus(corpus, corpus_opts.actions, max_texts=corpus_opts.max_texts)
+    sents = sentences(clean, corpus_opts.actions)
+    if embedding.method == "glove":
+        toks = sents.select("sentence_id", F.posexplode("tokens").alias("pos", "token")).withColumnRenamed("sentence_id", "doc_id")
+        cooc = cooccurrence(toks, vocabulary(toks), embedding.window)
+        vectors = train_embeddings("glove", sents, cooc=cooc, size=embedding.size)
+    else:
+        counts = vocabulary(sents.select(F.explode("tokens").alias("token")))
+        vectors = train_embeddings(
+            embedding.method, sents, counts=counts, size=embedding.size, window=embedding.window, iterations=embedding.iterations
+        )
+    vectors = cut_lineage(vectors)
+    thesaurus = clean_thesaurus(concepts, vectors.select("word"), thesaurus_actions)
+    return expand_thesaurus(vectors, thesaurus, graph, split, diffusion)

@@ -106,3 +106,19 @@ def q_space_table_roundtrip(spark, sf_dir):
     schema = "word bigint, y_train int, y_pred int, y_conf double, y_top3_classes string, y_test int"
     back = sio.read_space_table(spark, path, schema, list_columns=("y_top3_classes",))
     return rounded(back)
+
+
+@register("expansion_end_to_end", None)
+def q_expansion_end_to_end(spark, sf_dir):
+    """All stages from the raw documents (multiple-lines corpus, word2vec) to the statistics of 3 seeds."""
+    from lexiprop.operators import evaluate as ev
+    from lexiprop.plans.expansion import CorpusOptions, EmbeddingOptions, SplitOptions, expand_from_corpus
+
+    evaluation, _ = expand_from_corpus(
+        fx.corpus_fx(spark, sf_dir),
+        fx.concepts_fx(spark, sf_dir),
+        CorpusOptions(actions=MULTI_LINE_ACTIONS),
+        EmbeddingOptions(method="word2vec", size=32, iterations=1),
+        split=SplitOptions(seeds=fx.SEEDS),
+    )
+    return ev.evaluate(evaluation)
