@@ -30,7 +30,7 @@ _CHUNK_CELLS = 1 << 23
 DEFAULT_BLOCK_ROWS = None  # derived from the vector dimension
 
 
-_MIN_BLOCK_ROWS = 256
+_MIN_BLOCK_ROWS = 2048
 
 
 def _parallelism(df: DataFrame) -> int:
