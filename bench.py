@@ -46,8 +46,8 @@ def main() -> None:
     import pandas as pd
     from pyspark.sql import functions as F
 
-    spark.range(1000).groupBy((F.col("id") % 8).alias("k")).applyInPandas(
-        lambda p: pd.DataFrame({"k": p["k"].iloc[:1], "n": [len(p)]}), "k long, n long"
+    spark.range(1000).withColumn("k", F.col("id") % 8).groupBy("k").applyInPandas(
+        lambda p: pd.DataFrame({"k": [int(p["k"].iloc[0])], "n": [len(p)]}), "k long, n long"
     ).collect()
     warmup = round(time.perf_counter() - t0, 3)
     timings = {}
