@@ -87,14 +87,11 @@ def value_prefix(
             F.coalesce(F.sum("cnt").over(w_below), F.lit(0)).alias("before"),
             F.sum("cnt").over(Window.partitionBy()).alias("total"),
         )
-    else:
-        # bucket bounds from approximate quantiles of the distinct values (n_buckets numbers)
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = sorted(set(hist.approxQuantile(value, probs, 0.001)))
-        bucket = F.lit(0)
-        for bound in bounds:
-            bucket = bucket + F.when(F.col(value) > F.lit(bound), 1).otherwise(0)
-        bucketed = hist.withColumn("_bucket", bucket)
+    # range buckets over the distinct values (any orderable type); the assignment is
+    # frozen by a reliable checkpoint so every later read sees the same buckets
+    from lexiprop.session import cut_lineage
+
+    bucketed = cut_lineage(hist.repartitionByRange(n_buckets, value).withColumn("_bucket", F.spark_partition_id()))
     totals = bucketed.groupBy("_bucket").agg(F.sum("cnt").alias("_bt"))
     # one row per bucket: a window without partition is fine here
     w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,9 +108,11 @@ def value_prefix(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: list[float], names: list[str], bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS
+) -> DataFrame:
     """One row with the linear-interpolation quantiles of ``value`` (pandas/numpy default)."""
-    pre = value_prefix(df, value)
+    pre = value_prefix(df, value, bucket_rows=bucket_rows)
     cols = []
     for p, name in zip(probs, names):
         pos = F.lit(p) * (F.col("total") - 1)
@@ -127,9 +126,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[s
     return pre.agg(*cols)
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+def average_rank(df: DataFrame, value: str, out: str, bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS) -> DataFrame:
     """Adds the average rank (1-based, ties share the mean rank) of ``value``."""
-    pre = value_prefix(df, value).select(
+    pre = value_prefix(df, value, bucket_rows=bucket_rows).select(
         value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out)
     )
     from lexiprop.operators.joins import join_small
