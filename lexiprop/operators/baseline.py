@@ -158,9 +158,12 @@ def bipartite_edges(topk: DataFrame) -> DataFrame:
     """Undirected synset-word edges weighted by similarity, node key ``synset_<id>`` / word."""
     syn = synset_node_name(F.col("synset"))
     word = F.col("word").cast("string")
-    fwd = topk.select("split_id", syn.alias("src"), word.alias("dst"), F.col("similarity").alias("weight"))
-    back = topk.select("split_id", word.alias("src"), syn.alias("dst"), F.col("similarity").alias("weight"))
-    return fwd.unionByName(back)
+    w = F.col("similarity")
+    both = F.array(
+        F.struct(syn.alias("src"), word.alias("dst"), w.alias("weight")),
+        F.struct(word.alias("src"), syn.alias("dst"), w.alias("weight")),
+    )
+    return topk.select("split_id", F.explode(both).alias("e")).select("split_id", "e.*")
 
 
 def bipartite_spreading(

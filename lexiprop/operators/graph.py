@@ -108,9 +108,15 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     One aggregation over the edges and their reverses: partial aggregation
     combines map-side, so hub nodes do not create a hot reducer.
     """
-    both = edges.select("src", "dst", "weight").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    )
+    # both directions from one read of the edges (no union: the input is often a UDF result)
+    both = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("weight").alias("weight")),
+                F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("weight")),
+            )
+        ).alias("e")
+    ).select("e.*")
     agg = both.groupBy("src", "dst").agg(F.max("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     sym = agg.select(
         "src",

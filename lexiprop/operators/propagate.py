@@ -58,7 +58,8 @@ def label_propagation(
     """Y <- D^-1 A Y, then labelled rows reset to their seeds; returns the state."""
     seeds = one_hot(labels)
     split_ids = list(split_ids) if split_ids is not None else _split_ids(labels)
-    p = transition(edges)
+    # the graph is read by the degree aggregate and by the join: written once
+    p = transition(cut_lineage(edges))
     labelled = seeds.select("split_id", F.col("word").alias("src"))
     if "split_id" not in p.columns:
         p = p.select(F.explode(F.array(*[F.lit(s) for s in split_ids])).alias("split_id"), "src", "dst", "p")
@@ -90,7 +91,8 @@ def label_spreading(
 ) -> DataFrame:
     """Y <- alpha S Y + (1 - alpha) Y0 (seeds mixed, not clamped); returns the state."""
     seeds = one_hot(labels)
-    s = symmetric_normalized(edges)
+    # the graph is read by the degree aggregate and by both degree joins: written once
+    s = symmetric_normalized(cut_lineage(edges))
     on = ["split_id", "dst"] if "split_id" in s.columns else ["dst"]
     s = s.repartition(*on).persist(StorageLevel.MEMORY_AND_DISK)
     base = seeds.select("split_id", "word", "synset", (F.col("score") * (1.0 - alpha)).alias("score"))

@@ -16,6 +16,7 @@ from lexiprop.plans import oracle as o
 from lexiprop.plans.expansion import rounded
 from lexiprop.plans.graph_queries import _LP, _LS, _diffusion_sql, _evaluation
 from lexiprop.plans.text_queries import SIMPLE_TOKENS_SQL, VOCAB_SQL
+from lexiprop.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -52,19 +53,22 @@ EVAL_BL_SQL = o.with_ctes(
 )
 
 
+# The review and comparison queries read an evaluation table several times
+# (counts, bands, samples, suggestions): each is written to the checkpoint folder once.
+
 def eval_lp(spark, sf_dir):
-    return _evaluation(spark, sf_dir, **_LP)
+    return cut_lineage(_evaluation(spark, sf_dir, **_LP))
 
 
 def eval_ls(spark, sf_dir):
-    return _evaluation(spark, sf_dir, **_LS)
+    return cut_lineage(_evaluation(spark, sf_dir, **_LS))
 
 
 def eval_bl(spark, sf_dir):
     vec = fx.vec_fx(spark, sf_dir)
     unit = gr.normalize_vectors(vec.select("word", "vector"))
-    split = sp.split_thesaurus(vec.select("word", "synset"), seeds=(1,))
-    return bl.baseline_evaluation(unit, split, 10)
+    split = cut_lineage(sp.split_thesaurus(vec.select("word", "synset"), seeds=(1,)))
+    return cut_lineage(bl.baseline_evaluation(unit, split, 10))
 
 
 LP = [("ev", EVAL_LP_SQL)]
