@@ -82,7 +82,7 @@ _BASE_PREDS = (
     "baseline_predictions",
     o.with_ctes(
         _base_ctes((1,), 10) + [_BEST, _BASE_PREDS] + o.evaluation_ctes(),
-        "select split_id, word, y_train, y_pred, round(y_conf, 6) as y_conf, y_top3_classes, y_test from evaluation",
+        "select split_id, word, y_train, y_pred, round(round(y_conf, 12), 6) as y_conf, y_top3_classes, y_test from evaluation",
     ),
 )
 def q_baseline_predictions(spark, sf_dir):

@@ -189,7 +189,7 @@ def _evaluation(spark, sf_dir, method, iterations, alpha, graph, seeds):
     return evaluation
 
 
-PRED_COLS = "split_id, word, y_pred, round(y_conf, 6) as y_conf"
+PRED_COLS = "split_id, word, y_pred, round(round(y_conf, 12), 6) as y_conf"
 TOP3_COLS = "split_id, word, y_top3_classes"
 
 _LP = dict(method="label_propagation", iterations=3, alpha=0.2, graph=_DEFAULT_GRAPH, seeds=(1,))
@@ -216,7 +216,7 @@ _register_diffusion("lp_top3", _LP, f"select {TOP3_COLS} from evaluation", _top3
 _register_diffusion("ls_predictions", _LS, f"select {PRED_COLS} from evaluation", _pred_select)
 _register_diffusion("ls_top3", _LS, f"select {TOP3_COLS} from evaluation", _top3_select)
 
-EVAL_COLS_SQL = "split_id, word, y_train, y_pred, round(y_conf, 6) as y_conf, y_top3_classes, y_test"
+EVAL_COLS_SQL = "split_id, word, y_train, y_pred, round(round(y_conf, 12), 6) as y_conf, y_top3_classes, y_test"
 
 
 def _eval_select(e):

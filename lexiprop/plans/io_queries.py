@@ -97,7 +97,7 @@ def q_graph_roundtrip(spark, sf_dir):
 
 @register(
     "space_table_roundtrip",
-    o.with_ctes([("ev", EVAL_LP_SQL)], "select word, y_train, y_pred, round(y_conf, 6) as y_conf, y_top3_classes, y_test from ev"),
+    o.with_ctes([("ev", EVAL_LP_SQL)], "select word, y_train, y_pred, round(round(y_conf, 12), 6) as y_conf, y_top3_classes, y_test from ev"),
 )
 def q_space_table_roundtrip(spark, sf_dir):
     e = eval_lp(spark, sf_dir).select("word", "y_train", "y_pred", "y_conf", "y_top3_classes", "y_test")

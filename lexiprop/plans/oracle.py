@@ -258,7 +258,7 @@ ROUND = 6
 
 
 def r6(expr: str, alias: str | None = None) -> str:
-    return f"round({expr}, {ROUND}) as {alias or expr}"
+    return f"round(round({expr}, 12), {ROUND}) as {alias or expr}"
 
 
 STATS_SELECT = (

@@ -179,7 +179,7 @@ def _sugg_sql(order: str, seed: int = 1):
         "random": f"md5('{seed}' || ':' || cast(word as varchar))",
     }[order]
     return (
-        f"select '{order}' as conf_order, split_id, synset, rank, word, round(conf, 6) as conf from ("
+        f"select '{order}' as conf_order, split_id, synset, rank, word, round(round(conf, 12), 6) as conf from ("
         f"select split_id, y_pred as synset, row_number() over (partition by split_id, y_pred order by {keys}) as rank, word, y_conf as conf "
         "from ev where y_train <> y_pred and y_pred <> -1) where rank <= 10"
     )
