@@ -197,7 +197,7 @@ def write_review_sheet(sheet: DataFrame, path: str, mode: str = "overwrite") ->
     sheet.write.mode(mode).option("header", True).csv(path)
 
 
-def read_scored_sheet(spark: SparkSession, path: str, word_col: int = 4, score_col: int = 6) -> DataFrame:
+def read_scored_sheet(spark: SparkSession, path: str | list[str], word_col: int = 4, score_col: int = 6) -> DataFrame:
     """A reviewed sheet exported as CSV: skip the 7 header rows, take the word and
     score columns (E and G by default), drop rows without a word."""
     raw = spark.read.option("header", False).csv(path).select(
