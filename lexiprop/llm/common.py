@@ -40,12 +40,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """Column ``name`` as ``kind``; all null where the table has no such column."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """``rows`` joined with the one row that ``groups`` holds for each value of ``key``.
 
     ``size`` counts the rows of a group and ``total`` all rows. Groups with over 1/1000 of
@@ -55,5 +60,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     is_hot = F.col(size) * F.lit(HOT_SHARE) > F.lit(total)
     hot = groups.filter(is_hot)
     hot_part = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return hot_part.unionByName(rest.join(groups.filter(~is_hot), key).select(*hot_part.columns))

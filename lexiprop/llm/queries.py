@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprop.llm import digest_index, simhash_vptree
+from lexiprop.llm import budget_mix, digest_index, shard_minimax, simhash_vptree
 from lexiprop.llm.common import documents
 
 
@@ -16,9 +16,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.dedup_batch(documents(spark, sf_dir), digest_index.new_index(spark))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = budget_mix.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "taken", "copies")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_minimax.shard(documents(spark, sf_dir), shards=40)
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_source_mix": op7_source_mix,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE = {
