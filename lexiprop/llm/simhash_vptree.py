@@ -4,8 +4,8 @@
 2. A bounded sample of fingerprints builds the trees on the driver. Distances between
    unrelated 64-bit fingerprints crowd around 32, so a ball of radius 4 would cross nearly
    every boundary of one tree over all bits. The bits are therefore cut into blocks, with
-   a tree for each: two fingerprints at most ``max_bits`` apart are within
-   ``max_bits // blocks`` of each other on some block, which is the radius of that tree.
+   a tree and a reach for each: as the reaches, plus one each, add up to ``max_bits + 1``,
+   two fingerprints at most ``max_bits`` apart are within its reach on some block.
 3. Every fingerprint becomes resident of one leaf in each tree. Where the triangle bound
    lets a partner lie beyond a boundary, the fingerprint nearer to the vantage point is
    also sent across as a visitor; both branches are followed only where the bound allows.
@@ -38,7 +38,7 @@ MAX_BITS = 4
 SEED = 42
 #: Fingerprints that build the trees (smallest seeded hashes first); bounds the driver's and the broadcast's memory.
 SAMPLE = 16_384
-BLOCKS = 3
+BLOCKS = 4
 LEAF_ROWS = 512
 CELL_ROWS = 4_096
 _ROWS_AT_ONCE = 256
@@ -84,6 +84,16 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def bit_blocks(max_bits: int, blocks: int) -> list[tuple[int, int]]:
+    """``(mask, reach)`` of each block: two values ``max_bits`` apart or less are within reach on
+    one of them. A block with a longer reach is wider, as its tree needs more room to prune."""
+    blocks = min(blocks, max_bits + 1)
+    whole, more = divmod(max_bits + 1, blocks)
+    reaches = [whole - 1 + (i < more) for i in range(blocks)]
+    edges = [round(64 * x / sum(r + 1.5 for r in reaches)) for x in accumulate((r + 1.5 for r in reaches), initial=0)]
+    return [(((1 << (hi - lo)) - 1) << lo, r) for lo, hi, r in zip(edges, edges[1:], reaches)]
+
+
 def build_tree(sample: np.ndarray, mask: int, leaf_sample: int, seed: int = SEED) -> list[tuple]:
     """Nodes ``(vantage, radius, inner, outer)`` in a list; a child below zero is leaf ``-1 - child``.
 
@@ -188,16 +198,13 @@ def near_links(
     ``max_bits`` apart, directly or through others that are."""
     chosen = [r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     drawn = np.array(chosen, np.int64).view(np.uint64)
-    edges_at = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges_at, edges_at[1:])]
-    reach = max_bits // blocks
     leaf_sample = max(4, int(leaf_rows * len(drawn) / max(n, 1)))
-    trees = [build_tree(drawn, mask, leaf_sample, SEED + i) for i, mask in enumerate(masks)]
+    trees = [(build_tree(drawn, mask, leaf_sample, SEED + i), mask, reach) for i, (mask, reach) in enumerate(bit_blocks(max_bits, blocks))]
 
     def place(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for k, (nodes, mask) in enumerate(zip(trees, masks)):
+            for k, (nodes, mask, reach) in enumerate(trees):
                 index, leaf, resident = route(fps.view(np.uint64), nodes, mask, reach)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(index), k, np.int32)), pa.array(leaf), pa.array(resident), pa.array(fps[index])],

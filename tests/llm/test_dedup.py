@@ -68,6 +68,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sv.near_duplicates(_docs(spark, rows)).count() == len(rows)
 
 
+@pytest.mark.parametrize("max_bits,blocks", [(4, 4), (4, 3), (4, 1), (7, 3), (1, 4), (0, 2)])
+def test_blocks_reach_every_pair(max_bits, blocks):
+    parts = sv.bit_blocks(max_bits, blocks)
+    assert sum(m for m, _ in parts) == 2**64 - 1 and sum(r + 1 for _, r in parts) == max_bits + 1
+
+
 @pytest.mark.parametrize("cell_rows", [16, 4096])
 def test_trees_lose_no_link(spark, cell_rows):
     """Crowded and random fingerprints: the links join what a comparison of all pairs joins."""
