@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprop.llm import budget_mix, digest_index, shard_minimax, simhash_vptree
-from lexiprop.llm.common import documents
+from lexiprop.llm import budget_mix, digest_index, disclosure, rule_ensemble, shard_minimax, simhash_vptree, toxicity_channel
+from lexiprop.llm.common import documents, labels
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.dedup_batch(documents(spark, sf_dir), digest_index.new_index(spark))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity_channel.score_documents(docs, toxicity_channel.fit(docs, labels(spark, sf_dir)))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = budget_mix.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source", "source_size", "target", "taken", "copies")
@@ -25,11 +30,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_minimax.shard(documents(spark, sf_dir), shards=40)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.find_private(documents(spark, sf_dir)).drop("sanitised")
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_source_mix": op7_source_mix,
     "op8_sharding": op8_sharding,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE = {
