@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprop.llm import budget_mix, digest_index, disclosure, rule_ensemble, shard_minimax, simhash_vptree, toxicity_channel
+from lexiprop.llm import (
+    bpe_distinct,
+    budget_mix,
+    digest_index,
+    disclosure,
+    quality_rules,
+    rule_ensemble,
+    shard_minimax,
+    simhash_vptree,
+    token_arrow,
+    toxicity_channel,
+)
 from lexiprop.llm.common import documents, labels
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_arrow.write_tokens(documents(spark, sf_dir), token_arrow.new_folder(spark), tokenizer_path(), end_id=2)
+    return token_arrow.read_tokens(manifest)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(documents(spark, sf_dir), shingle_words=4, max_bits=4)
 
@@ -16,6 +45,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.dedup_batch(documents(spark, sf_dir), digest_index.new_index(spark))
 
 
+def op5_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_distinct.encode_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity_channel.score_documents(docs, toxicity_channel.fit(docs, labels(spark, sf_dir)))
@@ -39,8 +72,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_files": op2_token_files,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe_distinct_words": op5_bpe_distinct_words,
     "op6_toxicity": op6_toxicity,
     "op7_source_mix": op7_source_mix,
     "op8_sharding": op8_sharding,
