@@ -56,7 +56,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     usable = np.flatnonzero((counts > 0) & (lengths > 0))
     if budget <= 0 or not len(usable):
         return chosen
-    width = budget + int(lengths[usable].min())
+    width = min(2 * budget, budget + int(lengths[usable].max()))  # any sum beyond is farther off than some sum within
     reached = np.zeros(width + 1, bool)
     reached[0] = True
     by = np.full(width + 1, -1, np.int64)
