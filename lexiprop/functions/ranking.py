@@ -13,14 +13,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_PREFIX_HEX = 6  # 24 bits of the md5 used to pick the salt bucket
 DEFAULT_SALT = 16
-DEFAULT_PREFIX_BUCKET_ROWS = 1_000_000
 
 
 def seeded_hash(seed: Column | int, key: Column) -> Column:
@@ -66,7 +63,7 @@ def value_prefix(
     df: DataFrame,
     value: str,
     weight: str | None = None,
-    bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Histogram ``(value, cnt, before, total)``: rows with the value, rows below it, all rows.
 
@@ -76,22 +73,12 @@ def value_prefix(
     """
     size = F.sum(F.col(weight)).cast("long") if weight else F.count(F.lit(1))
     hist = df.groupBy(value).agg(size.alias("cnt")).filter(F.col(value).isNotNull())
-    n_distinct = hist.count()
-    n_buckets = max(1, math.ceil(n_distinct / bucket_rows))
-    if n_buckets == 1:
-        # at most ``bucket_rows`` distinct values: one ordered window, no join
-        w_below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select(
-            value,
-            "cnt",
-            F.coalesce(F.sum("cnt").over(w_below), F.lit(0)).alias("before"),
-            F.sum("cnt").over(Window.partitionBy()).alias("total"),
-        )
-    # range buckets over the distinct values (any orderable type); the assignment is
-    # frozen by a reliable checkpoint so every later read sees the same buckets
+    # range buckets over the distinct values (any orderable type), as many as their size
+    # asks for; a reliable checkpoint freezes them, so every later read sees the same buckets
     from lexiprop.session import cut_lineage
 
-    bucketed = cut_lineage(hist.repartitionByRange(n_buckets, value).withColumn("_bucket", F.spark_partition_id()))
+    ranged = hist.repartitionByRange(n_buckets, value) if n_buckets else hist.repartitionByRange(value)
+    bucketed = cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
     totals = bucketed.groupBy("_bucket").agg(F.sum("cnt").alias("_bt"))
     # one row per bucket: a window without partition is fine here
     w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,10 +96,10 @@ def value_prefix(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: list[float], names: list[str], bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS
+    df: DataFrame, value: str, probs: list[float], names: list[str], n_buckets: int | None = None
 ) -> DataFrame:
     """One row with the linear-interpolation quantiles of ``value`` (pandas/numpy default)."""
-    pre = value_prefix(df, value, bucket_rows=bucket_rows)
+    pre = value_prefix(df, value, n_buckets=n_buckets)
     cols = []
     for p, name in zip(probs, names):
         pos = F.lit(p) * (F.col("total") - 1)
@@ -126,11 +113,9 @@ def exact_quantiles(
     return pre.agg(*cols)
 
 
-def average_rank(df: DataFrame, value: str, out: str, bucket_rows: int = DEFAULT_PREFIX_BUCKET_ROWS) -> DataFrame:
+def average_rank(df: DataFrame, value: str, out: str, n_buckets: int | None = None) -> DataFrame:
     """Adds the average rank (1-based, ties share the mean rank) of ``value``."""
-    pre = value_prefix(df, value, bucket_rows=bucket_rows).select(
+    pre = value_prefix(df, value, n_buckets=n_buckets).select(
         value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out)
     )
-    from lexiprop.operators.joins import join_small
-
-    return join_small(df, pre, value, "left")
+    return df.join(pre, value, "left")

@@ -3,7 +3,7 @@
 Several methods' evaluation tables are stacked into one frame with a
 ``method`` column (position in the input list) instead of being joined
 pairwise in driver loops; method pairs ``a < b`` come from one equi-join on
-the shared keys plus a filter, never from a cross join.
+the shared keys, never from a cross join.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from lexiprop.functions.text import transliterate
 
 TOP_PER_SYNSET = 10
 RANK_DECIMALS = 9
-LABEL_ORDER = ("both", "left_only", "right_only", "training")  # sort order of V2 (alphabetical)
 
 
 def stack(evaluations: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
@@ -34,62 +33,78 @@ def test_rows(stacked: DataFrame) -> DataFrame:
     return stacked.filter(F.col("y_test").isNotNull())
 
 
-def pair_overlap(stacked: DataFrame, n: int = TOP_PER_SYNSET) -> DataFrame:
-    """For each method pair (a, b), the mean over the synsets of the first
+def _later_methods(methods: Sequence[int], method):
+    """For a row of ``method``: the methods after it, each making a pair with it."""
+    every = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in methods for j in methods if i < j])
+    return F.transform(F.filter(every, lambda p: p["a"] == method), lambda p: p["b"])
+
+
+def pair_overlap(stacked: DataFrame, methods: Sequence[int], n: int = TOP_PER_SYNSET) -> DataFrame:
+    """For each split and method pair (a, b), the mean over the synsets of the first
     method's evaluation (``y_train`` values, -1 included) of |A∩B| / max(|A|, |B|), where A
     and B are the top-n test words by confidence predicted as the synset (0 if a side has
     none), and the total number of shared words.
 
-    Output ``(method_a, method_b, mean_overlap, shared_words)``.
+    ``methods`` are the method numbers of ``stacked``.
+    Output ``(split_id, method_a, method_b, mean_overlap, shared_words)``.
     """
     tests = test_rows(stacked)
-    w = Window.partitionBy("method", "y_pred").orderBy(F.round("y_conf", RANK_DECIMALS).desc(), F.col("word").asc())
-    top = tests.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select("method", "y_pred", "word")
-    sizes = top.groupBy("method", F.col("y_pred").alias("synset")).agg(F.count(F.lit(1)).alias("size"))
-    a = top.select(F.col("method").alias("method_a"), F.col("y_pred").alias("synset"), "word")
-    b = top.select(F.col("method").alias("method_b"), F.col("y_pred").alias("synset"), "word")
+    w = Window.partitionBy("split_id", "method", "y_pred").orderBy(F.round("y_conf", RANK_DECIMALS).desc(), F.col("word").asc())
+    top = tests.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    top = top.select("split_id", "method", F.col("y_pred").alias("synset"), "word")
+    sizes = top.groupBy("split_id", "method", "synset").agg(F.count(F.lit(1)).alias("size"))
+    a = top.select(
+        "split_id", F.col("method").alias("method_a"), F.explode(_later_methods(methods, F.col("method"))).alias("method_b"), "synset", "word"
+    )
+    b = top.withColumnRenamed("method", "method_b")
     shared = (
-        a.join(b, ["synset", "word"])
-        .filter(F.col("method_a") < F.col("method_b"))
-        .groupBy("method_a", "method_b", "synset")
+        a.join(b, ["split_id", "method_b", "synset", "word"])
+        .groupBy("split_id", "method_a", "method_b", "synset")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    methods = sorted(r[0] for r in stacked.select("method").distinct().collect())  # one value per method
-    pairs = [(i, j) for ii, i in enumerate(methods) for j in methods[ii + 1:]]
-    first = methods[0]
-    synsets = stacked.filter(F.col("method") == first).select(F.col("y_train").alias("synset")).distinct()
+    pairs = [(i, j) for i in methods for j in methods if i < j]
+    synsets = stacked.filter(F.col("method") == min(methods)).select("split_id", F.col("y_train").alias("synset")).distinct()
     per_pair = synsets.select(
+        "split_id",
         "synset",
         F.explode(F.array(*[F.struct(F.lit(i).alias("method_a"), F.lit(j).alias("method_b")) for i, j in pairs])).alias("p"),
-    ).select("synset", "p.method_a", "p.method_b")
-    sa = sizes.select(F.col("method").alias("method_a"), "synset", F.col("size").alias("size_a"))
-    sb = sizes.select(F.col("method").alias("method_b"), "synset", F.col("size").alias("size_b"))
+    ).select("split_id", "synset", "p.method_a", "p.method_b")
+    sa = sizes.select("split_id", F.col("method").alias("method_a"), "synset", F.col("size").alias("size_a"))
+    sb = sizes.select("split_id", F.col("method").alias("method_b"), "synset", F.col("size").alias("size_b"))
     joined = (
-        per_pair.join(sa, ["method_a", "synset"], "left")
-        .join(sb, ["method_b", "synset"], "left")
-        .join(shared, ["method_a", "method_b", "synset"], "left")
+        per_pair.join(sa, ["split_id", "method_a", "synset"], "left")
+        .join(sb, ["split_id", "method_b", "synset"], "left")
+        .join(shared, ["split_id", "method_a", "method_b", "synset"], "left")
     )
     both = F.col("size_a").isNotNull() & F.col("size_b").isNotNull()
     ratio = F.when(both, F.coalesce(F.col("shared"), F.lit(0)) / F.greatest("size_a", "size_b")).otherwise(0.0)
-    return joined.groupBy("method_a", "method_b").agg(
+    return joined.groupBy("split_id", "method_a", "method_b").agg(
         F.avg(ratio).alias("mean_overlap"),
         F.sum(F.when(both, F.coalesce(F.col("shared"), F.lit(0))).otherwise(0)).cast("long").alias("shared_words"),
     )
 
 
-def pair_combined_accuracy(stacked: DataFrame) -> DataFrame:
-    """For each method pair, the share of test words both predict equally
-    (neither -1) and the share where at least one of them is right.
+def pair_combined_accuracy(stacked: DataFrame, methods: Sequence[int]) -> DataFrame:
+    """For each split and method pair, over all test words of the first method: the share
+    both predict equally (neither -1) and the share where at least one of them is right.
+    A word that the second method lacks counts with the first method's prediction alone.
 
-    Output ``(method_a, method_b, equal_predictions, combined_accuracy)``.
+    Output ``(split_id, method_a, method_b, equal_predictions, combined_accuracy)``.
     """
-    tests = test_rows(stacked).select("method", "word", "y_pred", "y_test")
-    a = tests.select(F.col("method").alias("method_a"), "word", F.col("y_pred").alias("pred_a"), "y_test")
-    b = tests.select(F.col("method").alias("method_b"), "word", F.col("y_pred").alias("pred_b"))
-    j = a.join(b, "word", "left").filter(F.col("method_a") < F.col("method_b"))
+    tests = test_rows(stacked).select("split_id", "method", "word", "y_pred", "y_test")
+    a = tests.select(
+        "split_id",
+        F.col("method").alias("method_a"),
+        F.explode(_later_methods(methods, F.col("method"))).alias("method_b"),
+        "word",
+        F.col("y_pred").alias("pred_a"),
+        "y_test",
+    )
+    b = tests.select("split_id", F.col("method").alias("method_b"), "word", F.col("y_pred").alias("pred_b"))
+    j = a.join(b, ["split_id", "method_b", "word"], "left")
     equal = (F.col("pred_a") != -1) & (F.col("pred_b") != -1) & (F.col("pred_a") == F.col("pred_b"))
-    right = (F.col("pred_a") == F.col("y_test")) | (F.col("pred_b") == F.col("y_test"))
-    return j.groupBy("method_a", "method_b").agg(
+    right = (F.col("pred_a") == F.col("y_test")) | F.coalesce(F.col("pred_b") == F.col("y_test"), F.lit(False))
+    return j.groupBy("split_id", "method_a", "method_b").agg(
         F.avg(F.when(equal, 1.0).otherwise(0.0)).alias("equal_predictions"),
         F.avg(F.when(right, 1.0).otherwise(0.0)).alias("combined_accuracy"),
     )
@@ -127,14 +142,15 @@ def word_labels(left_eval: DataFrame, right_eval: DataFrame, synsets: DataFrame,
     return labelled.select("word", label.alias("label"))
 
 
-def projector_rows(labels: DataFrame, vectors: DataFrame, max_dims: int = 400) -> DataFrame:
-    """Transliterated word, label and (at most 400) vector components."""
+def ordered_labels(labels: DataFrame) -> DataFrame:
+    """V2: the labelled words in the order of their labels (alphabetical), then by word."""
+    return labels.orderBy("label", "word")
+
+
+def projector_rows(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Transliterated word, label and the whole vector."""
     j = labels.join(vectors.select("word", "vector"), "word", "left")
-    return j.select(
-        transliterate(F.col("word").cast("string")).alias("word"),
-        "label",
-        F.slice(F.col("vector"), 1, max_dims).alias("vector"),
-    )
+    return j.select(transliterate(F.col("word").cast("string")).alias("word"), "label", "vector")
 
 
 # --- run results ----------------------------------------------------------------
@@ -152,7 +168,7 @@ def select_runs(
     take_first_of_two: bool = False,
 ) -> DataFrame:
     """per dynamic string, the one run whose ``params`` text contains all positive strings,
-    none of the negative ones and the dynamic string.  More than one match is an error
+    none of the negative ones and the dynamic string.  No match, or more than one, is an error
     (two are allowed with ``take_first_of_two``; the first by ``run_id`` is kept).
 
     Output ``(dynamic, run_id, mean_accuracy)``.
@@ -166,13 +182,14 @@ def select_runs(
     tagged = base.select(
         "*", F.explode(F.filter(F.array(*[F.lit(d) for d in dynamic]), lambda d: F.contains(F.col("params"), d))).alias("dynamic")
     )
+    # one row for each of the caller's strings
+    found = {r["dynamic"]: r["count"] for r in tagged.groupBy("dynamic").count().collect()}
+    for d in dynamic:
+        n = found.get(d, 0)
+        if n != 1 and not (n == 2 and take_first_of_two):
+            raise ValueError(f"{n} runs match {d!r}")
     w = Window.partitionBy("dynamic").orderBy("run_id")
-    ranked = tagged.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("dynamic"))).withColumn(
-        "_r", F.row_number().over(w)
-    )
-    limit = 2 if take_first_of_two else 1
-    if ranked.filter(F.col("_n") > limit).limit(1).count():
-        raise ValueError("several runs match one selection")
+    ranked = tagged.withColumn("_r", F.row_number().over(w))
     return ranked.filter(F.col("_r") == 1).select("dynamic", "run_id", "mean_accuracy")
 
 

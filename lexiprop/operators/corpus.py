@@ -94,11 +94,12 @@ def stream_chunks(clean: DataFrame, chunk_tokens: int = SENTENCE_TOKENS) -> Data
 
     Output ``(doc_id, pos, token, gpos, chunk)``.
     """
-    toks = training_tokens(clean)
-    lengths = toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = clean.select("doc_id", tx.whitespace_tokens(F.col("clean")).alias("_t"))
     # document lengths are the histogram weights: 'before' = tokens of earlier documents
-    offsets = value_prefix(lengths, "doc_id", weight="n").select("doc_id", F.col("before").alias("_off"))
-    return toks.join(offsets, "doc_id").select(
+    offsets = value_prefix(docs.select("doc_id", F.size("_t").alias("n")), "doc_id", weight="n")
+    # one row for each document is joined; tokens are exploded after it
+    placed = docs.join(offsets.select("doc_id", F.col("before").alias("_off")), "doc_id")
+    return placed.select("doc_id", "_off", F.posexplode("_t").alias("pos", "token")).select(
         "doc_id",
         "pos",
         "token",

@@ -4,8 +4,9 @@ The label distribution is a sparse long table ``state(split_id, word, synset,
 score)``; only non-zero scores exist.  One step is one equi-join of the
 (persisted) edge table with the state on the edge target and one ``groupBy``
 sum on the edge source — a sparse matrix product.  Every ``checkpoint_every``
-steps the state is written to the reliable checkpoint folder so the plan stays
-small and a lost executor only recomputes the last few steps.
+steps, and after the last, the state is written to the reliable checkpoint folder, so the
+plan stays small and a lost executor only recomputes the last few steps.  The edges of hub
+nodes are dealt into parts, and only the hubs' state is repeated for them.
 
 Several splits (seeds) run in the same job: ``split_id`` is part of every key.
 """
@@ -23,6 +24,7 @@ from lexiprop.session import cut_lineage
 
 METHODS = ("label_propagation", "label_spreading")
 RANK_DECIMALS = 9  # ties: round(conf, 9) desc, synset asc
+HUB_SHARE, HUB_FACTOR = 1000, 20
 
 
 def seed_labels(nodes: DataFrame, train: DataFrame, split_ids: Sequence[int]) -> DataFrame:
@@ -43,9 +45,33 @@ def one_hot(labels: DataFrame) -> DataFrame:
     )
 
 
-def _split_ids(labels: DataFrame) -> list[int]:
-    # bounded: one value per seed
-    return sorted(r[0] for r in labels.select("split_id").distinct().collect())
+def split_hubs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with a ``part`` number, and the hubs ``(dst, parts)``.
+
+    A hub is a node with over 1/HUB_SHARE of all edges and over HUB_FACTOR times the mean
+    number of edges into a node (so there are fewer than HUB_SHARE hubs, at any size). Its
+    edges are dealt into parts by their source; the other nodes have one part.
+    """
+    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    total, nodes = degrees.agg(F.sum("n"), F.count(F.lit(1))).first()
+    least = max((total or 0) / HUB_SHARE, HUB_FACTOR * (total or 0) / max(nodes, 1))
+    hubs = degrees.filter(F.col("n") > least).select("dst", F.ceil(F.col("n") / F.lit(max(least, 1.0))).cast("int").alias("parts"))
+    hubs = cut_lineage(hubs)
+    part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).cast("int")
+    return edges.join(F.broadcast(hubs), "dst", "left").withColumn("part", part).drop("parts"), hubs
+
+
+def _meet(edges: DataFrame, state: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges joined with the state of their targets; the state of a hub goes to each of its parts."""
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    spread = state.withColumnRenamed("word", "dst").join(F.broadcast(hubs), "dst", "left").withColumn("part", F.explode(parts)).drop("parts")
+    return edges.join(spread, [c for c in ("split_id", "dst", "part") if c in edges.columns])
+
+
+def _partitioned(edges: DataFrame) -> DataFrame:
+    """The edges where every step meets them."""
+    keys = [c for c in ("split_id", "dst", "part") if c in edges.columns]
+    return edges.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def label_propagation(
@@ -53,32 +79,25 @@ def label_propagation(
     labels: DataFrame,
     iterations: int = 3,
     checkpoint_every: int = 5,
-    split_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Y <- D^-1 A Y, then labelled rows reset to their seeds; returns the state."""
     seeds = one_hot(labels)
-    split_ids = list(split_ids) if split_ids is not None else _split_ids(labels)
-    # the graph is read by the degree aggregate and by the join: written once
-    p = transition(cut_lineage(edges))
-    labelled = seeds.select("split_id", F.col("word").alias("src"))
-    if "split_id" not in p.columns:
-        p = p.select(F.explode(F.array(*[F.lit(s) for s in split_ids])).alias("split_id"), "src", "dst", "p")
-    # edges out of unlabelled nodes only (labelled rows are reset every step)
-    p_unl = (
-        p.join(labelled, ["split_id", "src"], "left_anti")
-        .repartition("split_id", "dst")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # the graph is read by the degree aggregates and by the join: written once
+    p, hubs = split_hubs(transition(cut_lineage(edges)))
+    p = _partitioned(p)
+    labelled = seeds.select("split_id", "word")
     state = seeds
     for step in range(1, iterations + 1):
         moved = (
-            p_unl.join(state.withColumnRenamed("word", "dst"), ["split_id", "dst"])
+            _meet(p, state, hubs)
             .groupBy("split_id", F.col("src").alias("word"), "synset")
             .agg(F.sum(F.col("p") * F.col("score")).alias("score"))
         )
-        state = moved.unionByName(seeds)
-        if checkpoint_every and step % checkpoint_every == 0 and step < iterations:
+        # labelled rows are reset every step
+        state = moved.join(labelled, ["split_id", "word"], "left_anti").unionByName(seeds)
+        if step == iterations or checkpoint_every and step % checkpoint_every == 0:
             state = cut_lineage(state)
+    p.unpersist()
     return state
 
 
@@ -91,24 +110,23 @@ def label_spreading(
 ) -> DataFrame:
     """Y <- alpha S Y + (1 - alpha) Y0 (seeds mixed, not clamped); returns the state."""
     seeds = one_hot(labels)
-    # the graph is read by the degree aggregate and by both degree joins: written once
-    s = symmetric_normalized(cut_lineage(edges))
-    on = ["split_id", "dst"] if "split_id" in s.columns else ["dst"]
-    s = s.repartition(*on).persist(StorageLevel.MEMORY_AND_DISK)
+    # the graph is read by the degree aggregates and by the joins: written once
+    s, hubs = split_hubs(symmetric_normalized(cut_lineage(edges)))
+    s = _partitioned(s)
     base = seeds.select("split_id", "word", "synset", (F.col("score") * (1.0 - alpha)).alias("score"))
     state = seeds
     for step in range(1, iterations + 1):
-        moved = (
-            s.join(state.withColumnRenamed("word", "dst"), on)
-            .select("split_id", F.col("src").alias("word"), "synset", (F.lit(alpha) * F.col("s") * F.col("score")).alias("score"))
+        moved = _meet(s, state, hubs).select(
+            "split_id", F.col("src").alias("word"), "synset", (F.lit(alpha) * F.col("s") * F.col("score")).alias("score")
         )
         state = (
             moved.unionByName(base)
             .groupBy("split_id", "word", "synset")
             .agg(F.sum("score").alias("score"))
         )
-        if checkpoint_every and step % checkpoint_every == 0 and step < iterations:
+        if step == iterations or checkpoint_every and step % checkpoint_every == 0:
             state = cut_lineage(state)
+    s.unpersist()
     return state
 
 
@@ -154,7 +172,6 @@ def propagate(
     iterations: int = 3,
     alpha: float = 0.2,
     checkpoint_every: int = 5,
-    split_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Method dispatch; an unknown method raises like the reference.
 
@@ -165,7 +182,7 @@ def propagate(
         raise NotImplementedError(method)
     labels = cut_lineage(labels)
     if method == "label_propagation":
-        state = label_propagation(edges, labels, iterations, checkpoint_every, split_ids)
+        state = label_propagation(edges, labels, iterations, checkpoint_every)
     elif method == "label_spreading":
         state = label_spreading(edges, labels, iterations, alpha, checkpoint_every)
     else:

@@ -49,13 +49,14 @@ def _size(df: DataFrame, vec: str) -> tuple[int, int]:
     return int(row["n"]), int(row["d"] or 1)
 
 
-def _closest(key: np.ndarray, k: int | None, r2: float | None):
-    """Row/column indices of the k smallest entries per row (ties at the k-th kept) or entries <= r2."""
+def _closest(key: np.ndarray, k: int | None, r2: float | None, slack: np.ndarray):
+    """Row/column indices of the entries that may be among the k smallest of their row, or <= r2:
+    the block product is off by ``slack`` at most, so nothing that belongs is left out."""
     if k is not None:
         take = min(k, key.shape[1])
         kth = np.partition(key, take - 1, axis=1)[:, take - 1 : take]
-        return np.nonzero((key <= kth) & np.isfinite(key))
-    return np.nonzero(key <= r2 + 1e-9)
+        return np.nonzero((key <= kth + 2 * slack) & np.isfinite(key))
+    return np.nonzero(key <= r2 + slack)
 
 
 def similarity_join(
@@ -151,29 +152,47 @@ def similarity_join(
     r2 = None if radius is None else float(radius) ** 2
     use_dot = metric == "dot"
     same_id = exclude_same_id
+    number_keys = isinstance(dst_type, T.IntegralType)
 
     def emit(amat, bmat, akeys, bkeys, ai, bi, out):
-        if len(ai) == 0:
+        """Exact scores of the candidates, cut to the radius or to the k closest by (score, dst)."""
+        rows_at_once = max(1, _CHUNK_CELLS // max(1, amat.shape[1]))
+        scores = []
+        for i in range(0, len(ai), rows_at_once):
+            a, b = amat[ai[i : i + rows_at_once]], bmat[bi[i : i + rows_at_once]]
+            scores.append(np.einsum("ij,ij->i", a, b) if use_dot else np.sqrt(np.einsum("ij,ij->i", a - b, a - b)))
+        if not scores:
             return
-        if use_dot:
-            sc = np.einsum("ij,ij->i", amat[ai], bmat[bi])
+        sc = np.concatenate(scores)
+        if r2 is not None:
+            keep = sc <= radius
         else:
-            diff = amat[ai] - bmat[bi]
-            sc = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            if r2 is not None:
-                keep = sc <= radius
-                ai, bi, sc = ai[keep], bi[keep], sc[keep]
-        out.append((akeys[ai], bkeys[bi], sc))
+            names = bkeys.astype(np.int64) if number_keys else np.unique(bkeys.astype(str), return_inverse=True)[1]
+            order = np.lexsort((names[bi], -sc if use_dot else sc, ai))
+            ai, bi, sc = ai[order], bi[order], sc[order]
+            first = np.searchsorted(ai, ai)  # where each row's candidates begin
+            keep = np.arange(len(ai)) - first < kk
+        out.append((akeys[ai[keep]], bkeys[bi[keep]], sc[keep]))
 
     def local_pairs(lmat, rmat, lkeys, rkeys, lex, rex, both_ways, out):
         """Closest pairs of every left row (and, if ``both_ways``, of every right row).
 
         Memory stays at one chunk of the block product: the right rows' k-th
         closest values are kept as a running partition over chunks, and a
-        second pass emits every entry within them (ties included).
+        second pass emits what may be among the k closest, cut to k by (score, dst).
         """
+        lwhole, rwhole = lmat, rmat
+        if not use_dot:  # distances don't change, and far from the origin the product keeps its digits
+            centre = rmat.mean(axis=0)
+            lmat, rmat = lmat - centre, rmat - centre
         rnorm = np.einsum("ij,ij->i", rmat, rmat)
         lnorm = np.einsum("ij,ij->i", lmat, lmat)
+        # bounds of the rounding errors of one block product
+        unit = 4.0 * (lmat.shape[1] + 4) * np.finfo(np.float64).eps
+        lslack, rslack = unit * (lnorm + rnorm.max(initial=0.0)), unit * (rnorm + lnorm.max(initial=0.0))
+        if not use_dot:  # the centre itself is rounded
+            far = unit * np.abs(lwhole).max(initial=0.0) + unit * np.abs(rwhole).max(initial=0.0)
+            lslack, rslack = (x + far * np.sqrt(x / unit + far * far) * 4 for x in (lslack, rslack))
         chunk = max(1, _CHUNK_CELLS // max(1, len(rmat)))
         starts = range(0, len(lmat), chunk)
 
@@ -195,13 +214,13 @@ def similarity_join(
         col_best = None
         for start in starts:
             key = chunk_key(start)
-            ri, ci = _closest(key, kk, r2)
-            emit(lmat, rmat, lkeys, rkeys, ri + start, ci, out)
+            ri, ci = _closest(key, kk, r2, lslack[start : start + chunk][:, None])
+            emit(lwhole, rwhole, lkeys, rkeys, ri + start, ci, out)
             if not both_ways:
                 continue
             if kk is None:
-                ri, ci = np.nonzero(key <= r2 + 1e-9)
-                emit(rmat, lmat, rkeys, lkeys, ci, ri + start, out)
+                ri, ci = np.nonzero(key <= r2 + rslack[None, :])
+                emit(rwhole, lwhole, rkeys, lkeys, ci, ri + start, out)
             else:
                 cand = key.T if col_best is None else np.hstack([col_best, key.T])
                 take = min(kk, cand.shape[1])
@@ -210,8 +229,8 @@ def similarity_join(
             kth = col_best.max(axis=1)
             for start in starts:
                 key = chunk_key(start)
-                ri, ci = np.nonzero((key <= kth[None, :]) & np.isfinite(key))
-                emit(rmat, lmat, rkeys, lkeys, ci, ri + start, out)
+                ri, ci = np.nonzero((key <= (kth + 2 * rslack)[None, :]) & np.isfinite(key))
+                emit(rwhole, lwhole, rkeys, lkeys, ci, ri + start, out)
 
     def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         part_value = pdf["part"].iloc[0]

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiprop.operators.corpus import describe
-from lexiprop.operators.joins import join_small
 
 # Action names of the thesaurus stage.
 ACTION_LOWERCASE = "transform_to_lowercase"
@@ -70,7 +69,7 @@ def largest_synset_wins(cleaned: DataFrame) -> DataFrame:
 
 def keep_in_vocabulary(mapping: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Keep words present in the vocabulary (left semi join)."""
-    return join_small(mapping, vocabulary.select("word").distinct(), "word", "left_semi")
+    return mapping.join(vocabulary.select("word"), "word", "left_semi")
 
 
 def drop_small_synsets(mapping: DataFrame, min_words: int = 2) -> DataFrame:

@@ -88,8 +88,7 @@ def expand_thesaurus(
     )
     labels = pr.seed_labels(vectors.select("word"), sp.train_part(parts), split.seeds)
     predictions = pr.propagate(
-        edges, labels, diffusion.method, diffusion.iterations, diffusion.alpha, diffusion.checkpoint_every,
-        split_ids=split.seeds,
+        edges, labels, diffusion.method, diffusion.iterations, diffusion.alpha, diffusion.checkpoint_every
     )
     return ev.evaluation_table(predictions, parts), parts
 
@@ -115,9 +114,8 @@ class CorpusOptions:
 
 @dataclass
 class EmbeddingOptions:
-    method: str = "word2vec"
+    method: str = "fasttext"
     size: int = 100
-    iterations: int = 5
     window: int = 5
 
 
@@ -149,7 +147,7 @@ def expand_from_corpus(
     else:
         counts = vocabulary(sents.select(F.explode("tokens").alias("token")))
         vectors = train_embeddings(
-            embedding.method, sents, counts=counts, size=embedding.size, window=embedding.window, iterations=embedding.iterations
+            embedding.method, sents, counts=counts, size=embedding.size, window=embedding.window
         )
     vectors = cut_lineage(vectors)
     thesaurus = clean_thesaurus(concepts, vectors.select("word"), thesaurus_actions)

@@ -20,7 +20,8 @@ from lexiprop.plans import oracle as o
 from lexiprop.plans.expansion import rounded
 from lexiprop.plans.graph_queries import _DEFAULT_GRAPH
 from lexiprop.plans.review_queries import EVAL_LP_SQL, eval_lp
-from lexiprop.session import checkpoint_dir
+from lexiprop.plans.text_queries import COOCCURRENCE_CTES
+from lexiprop.session import checkpoint_dir, cut_lineage
 from lexiprop.sources import io as sio
 
 QUERIES: dict = {}
@@ -44,20 +45,69 @@ def _scratch(spark, name: str) -> str:
 
 
 def _sentences(spark, sf_dir):
-    clean = co.clean_corpus(fx.corpus_fx(spark, sf_dir), MULTI_LINE_ACTIONS)
-    return co.sentences(clean, MULTI_LINE_ACTIONS)
+    """Each document's lowercased tokens of two characters or more as a sentence."""
+    docs = fx.table(spark, sf_dir, "documents")
+    tokens = tx.lowercase_tokens(tx.drop_short_tokens(tx.split_on_space(F.col("text"))))
+    return docs.select(F.col("doc_id").alias("sentence_id"), tokens.alias("tokens"))
 
 
-@register("embed_word2vec", None)
+EMBED_SIZE = 100
+
+
+def _sign_sql(word: str, i: int) -> str:
+    half = f"cast('0x' || substr(md5('1:{i // 120}:' || {word}), {1 + 15 * (i % 120 // 60)}, 15) as bigint)"
+    return f"(1 - 2 * (({half} >> {i % 60}) & 1))"
+
+
+# the vectors of E1 component by component: pmi-weighted sums of seeded signs, then unit length
+E1_CTES = [
+    *COOCCURRENCE_CTES,
+    ("cooc", "select w1, w2, sum(weight) as weight from sym group by w1, w2"),
+    ("tot", "select w2 as word, sum(weight) as total from cooc group by w2"),
+    ("ctx", "select word, total, [" + ", ".join(_sign_sql("word", i) for i in range(EMBED_SIZE)) + "] as signs from tot"),
+    ("pmi", "select c.w1, x.signs, ln(c.weight * (select sum(total) from tot) / (a.total * x.total)) as p "
+            "from cooc c join tot a on a.word = c.w1 join ctx x on x.word = c.w2"),
+    ("sums", "select w1 as word, [" + ", ".join(f"sum(p * signs[{i + 1}])" for i in range(EMBED_SIZE)) + "] as v from pmi where p > 0 group by w1"),
+    ("e1", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from sums"),
+]
+
+
+@register(
+    "embed_word2vec",
+    o.with_ctes(E1_CTES, "select word, list_transform(vector, lambda x: round(round(x, 12), 6)) as vector from e1"),
+)
 def q_embed_word2vec(spark, sf_dir):
-    return em.word2vec(_sentences(spark, sf_dir), size=32, window=5, iterations=1)
+    """E1 at the reference's size and window."""
+    return _rounded_vectors(em.word2vec(_sentences(spark, sf_dir), size=EMBED_SIZE, window=5))
+
+
+def _rounded_vectors(df):
+    return df.select("word", F.transform("vector", lambda x: F.round(F.round(x, 12), 6)).alias("vector"))
+
 
+E2_CTES = [
+    *E1_CTES,
+    ("marked", "select e.word, '<' || e.word || '>' as t, v.count as n from e1 e join vocab v using (word)"),
+    ("grams", "select distinct m.word, m.n, substr(m.t, i.i, k.k) as gram from marked m, (select unnest([3, 4, 5, 6]) as k) k, "
+              "lateral (select unnest(range(1, cast(length(m.t) - k.k + 2 as bigint))) as i) i"),
+    ("comps", "select word, unnest(vector) as x, unnest(range(1, len(vector) + 1)) as d from e1"),
+    ("gv", "select g.gram, c.d, sum(g.n * c.x) / sum(g.n) as x from grams g join comps c using (word) group by g.gram, c.d"),
+    ("via", "select word, d, x from comps union all select g.word, gv.d, gv.x from grams g join gv using (gram)"),
+    ("means", "select word, d, avg(x) as x from via group by word, d"),
+    ("raw2", "select word, list(x order by d) as v from means group by word"),
+    ("e2", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from raw2"),
+]
 
-@register("embed_subword", None)
+
+@register(
+    "embed_subword",
+    o.with_ctes(E2_CTES, "select word, list_transform(vector, lambda x: round(round(x, 12), 6)) as vector from e2"),
+)
 def q_embed_subword(spark, sf_dir):
     sentences = _sentences(spark, sf_dir)
     counts = vo.vocabulary(sentences.select(F.explode("tokens").alias("token")))
-    return em.subword(em.word2vec(sentences, size=32, window=5, iterations=1), counts)
+    vectors = cut_lineage(em.word2vec(sentences, size=EMBED_SIZE, window=5))  # words' and n-grams' means read it
+    return _rounded_vectors(em.subword(vectors, counts))
 
 
 @register("embed_glove", None)
@@ -118,7 +168,7 @@ def q_expansion_end_to_end(spark, sf_dir):
         fx.corpus_fx(spark, sf_dir),
         fx.concepts_fx(spark, sf_dir),
         CorpusOptions(actions=MULTI_LINE_ACTIONS),
-        EmbeddingOptions(method="word2vec", size=32, iterations=1),
+        EmbeddingOptions(method="word2vec"),
         split=SplitOptions(seeds=fx.SEEDS),
     )
     return ev.evaluate(evaluation)

@@ -272,39 +272,40 @@ def _stacked(spark, sf_dir):
     o.with_ctes(
         STACKED
         + [
-            ("top", "select method, y_pred, word from (select *, row_number() over (partition by method, y_pred order by round(y_conf, 9) desc, word) as r "
-                    "from tests) where r <= 10"),
-            ("sizes", "select method, y_pred as synset, count(*) as size from top group by method, y_pred"),
-            ("shared", "select a.method as method_a, b.method as method_b, a.y_pred as synset, count(*) as shared from top a join top b "
-                       "on a.y_pred = b.y_pred and a.word = b.word and a.method < b.method group by all"),
-            ("syn", "select distinct y_train as synset from stacked where method = 0"),
+            ("top", "select split_id, method, y_pred, word from (select *, row_number() over (partition by split_id, method, y_pred "
+                    "order by round(y_conf, 9) desc, word) as r from tests) where r <= 10"),
+            ("sizes", "select split_id, method, y_pred as synset, count(*) as size from top group by split_id, method, y_pred"),
+            ("shared", "select a.split_id, a.method as method_a, b.method as method_b, a.y_pred as synset, count(*) as shared from top a join top b "
+                       "on a.split_id = b.split_id and a.y_pred = b.y_pred and a.word = b.word and a.method < b.method group by all"),
+            ("syn", "select distinct split_id, y_train as synset from stacked where method = 0"),
             ("pairs", "select * from (values (0, 1), (0, 2), (1, 2)) p(method_a, method_b)"),
-            ("j", "select p.method_a, p.method_b, s.synset, sa.size as size_a, sb.size as size_b, coalesce(sh.shared, 0) as shared "
-                  "from syn s cross join pairs p left join sizes sa on sa.method = p.method_a and sa.synset = s.synset "
-                  "left join sizes sb on sb.method = p.method_b and sb.synset = s.synset "
-                  "left join shared sh on sh.method_a = p.method_a and sh.method_b = p.method_b and sh.synset = s.synset"),
+            ("j", "select s.split_id, p.method_a, p.method_b, s.synset, sa.size as size_a, sb.size as size_b, coalesce(sh.shared, 0) as shared "
+                  "from syn s cross join pairs p left join sizes sa on sa.split_id = s.split_id and sa.method = p.method_a and sa.synset = s.synset "
+                  "left join sizes sb on sb.split_id = s.split_id and sb.method = p.method_b and sb.synset = s.synset "
+                  "left join shared sh on sh.split_id = s.split_id and sh.method_a = p.method_a and sh.method_b = p.method_b and sh.synset = s.synset"),
         ],
-        "select method_a, method_b, round(avg(case when size_a is not null and size_b is not null then shared / greatest(size_a, size_b) else 0.0 end), 6) "
+        "select split_id, method_a, method_b, round(avg(case when size_a is not null and size_b is not null then shared / greatest(size_a, size_b) else 0.0 end), 6) "
         "as mean_overlap, cast(sum(case when size_a is not null and size_b is not null then shared else 0 end) as bigint) as shared_words "
-        "from j group by method_a, method_b",
+        "from j group by split_id, method_a, method_b",
     ),
 )
 def q_pair_overlap(spark, sf_dir):
-    return rounded(cp.pair_overlap(_stacked(spark, sf_dir)))
+    return rounded(cp.pair_overlap(_stacked(spark, sf_dir), range(3)))
 
 
 @register(
     "pair_combined_accuracy",
     o.with_ctes(
         STACKED,
-        "select a.method as method_a, b.method as method_b, "
+        "select a.split_id, p.method_a, p.method_b, "
         "round(avg(case when a.y_pred <> -1 and b.y_pred <> -1 and a.y_pred = b.y_pred then 1.0 else 0.0 end), 6) as equal_predictions, "
         "round(avg(case when a.y_pred = a.y_test or b.y_pred = a.y_test then 1.0 else 0.0 end), 6) as combined_accuracy "
-        "from tests a join tests b on a.word = b.word and a.method < b.method group by a.method, b.method",
+        "from tests a join (values (0, 1), (0, 2), (1, 2)) p(method_a, method_b) on a.method = p.method_a "
+        "left join tests b on b.split_id = a.split_id and b.word = a.word and b.method = p.method_b group by a.split_id, p.method_a, p.method_b",
     ),
 )
 def q_pair_combined_accuracy(spark, sf_dir):
-    return rounded(cp.pair_combined_accuracy(_stacked(spark, sf_dir)))
+    return rounded(cp.pair_combined_accuracy(_stacked(spark, sf_dir), range(3)))
 
 
 def _chosen_sql(ev: str) -> str:
@@ -341,7 +342,7 @@ def q_method_word_labels(spark, sf_dir):
     "projector_rows",
     o.with_ctes(
         LABELS + [("nv", o.normalized("(" + o.VEC_FX + ")"))],
-        "select cast(l.word as varchar) as word, l.label, list_transform(list_slice(n.vector, 1, 400), lambda x: round(x, 6)) as vector "
+        "select cast(l.word as varchar) as word, l.label, list_transform(n.vector, lambda x: round(x, 6)) as vector "
         "from labels l left join nv n on n.word = l.word",
     ),
 )

@@ -8,6 +8,7 @@ A local folder is created only when the setting is absent (tests, bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of the session.
 
     Uses ``spark.checkpoint.dir`` (or a folder already set on the context);
-    creates a fresh local one only when neither is set.
+    creates a fresh local one only in local mode, when neither is set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf lookup differences
             configured = None
     if not configured:
+        # executors of a cluster would each write to a disk of their own
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lexiprop-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured

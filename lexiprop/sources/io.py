@@ -28,11 +28,12 @@ THESAURUS_SCHEMA = T.StructType(
 # --- corpus ---------------------------------------------------------------------
 
 def read_corpus_json(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON document per file; ``Volltext`` is the text, the id comes from the file name."""
+    """One JSON document per file; ``Volltext`` is the text, the id comes from the file name.
+    A file that is no JSON is an error."""
     raw = (
         spark.read.schema("Volltext string")
         .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
+        .option("mode", "FAILFAST")
         .json(folder)
         .select("Volltext", F.col("_metadata.file_name").alias("file_name"))
     )
@@ -119,13 +120,14 @@ def read_thesaurus_json(spark: SparkSession, path: str) -> DataFrame:
 def read_thesaurus_sequence(spark: SparkSession, path: str) -> DataFrame:
     """Pretty-printed JSON objects written one after another (no enclosing array).
 
-    Objects never nest here, so the boundaries ``}`` ... ``{`` turn the file
-    into an array that ``from_json`` parses.
+    Objects never nest here; each is matched with its strings, so braces inside a
+    string are no boundary.
     """
     whole = spark.read.text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_name").alias("_file")
     )
-    as_array = F.concat(F.lit("["), F.regexp_replace(F.trim(F.col("value")), r"\}\s*\{", "},{"), F.lit("]"))
+    each = F.regexp_extract_all(F.col("value"), F.lit(r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*+\}'), 0)
+    as_array = F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
     parsed = whole.select("_file", F.posexplode(F.from_json(as_array, T.ArrayType(THESAURUS_SCHEMA))).alias("_id", "c"))
     return _with_position(parsed.select("_file", F.col("_id").cast("long").alias("_id"), "c.*"))
 
@@ -139,11 +141,9 @@ def _with_position(raw: DataFrame) -> DataFrame:
     A JSON document file is read whole by one task, so the low bits of the row
     id are the offset; the file rank comes from the (small) list of file names.
     """
-    from lexiprop.operators.joins import join_small
-
     files = raw.select("_file").distinct()
     ranked = files.withColumn("_fr", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long"))
-    j = join_small(raw, ranked, "_file")
+    j = raw.join(ranked, "_file")
     offset = F.col("_id").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))
     pos = F.shiftleft(F.col("_fr"), _OFFSET_BITS) + offset
     return j.select(
@@ -200,14 +200,15 @@ def write_review_sheet(sheet: DataFrame, path: str, mode: str = "overwrite") ->
 def read_scored_sheet(spark: SparkSession, path: str | list[str], word_col: int = 4, score_col: int = 6) -> DataFrame:
     """A reviewed sheet exported as CSV: skip the 7 header rows, take the word and
     score columns (E and G by default), drop rows without a word."""
-    raw = spark.read.option("header", False).csv(path).select(
+    # the sheet's columns up to the last one read, whatever the width of its title rows
+    cols = [f"_c{i}" for i in range(max(word_col, score_col) + 1)]
+    raw = spark.read.option("header", False).schema(", ".join(f"{c} string" for c in cols)).csv(path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id")
     )
-    cols = raw.columns
     ranked = raw.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_id")))
     body = ranked.filter(F.col("_line") > SHEET_HEADER_ROWS)
     return body.select(
-        F.col(cols[word_col]).alias("word"), F.col(cols[score_col]).cast("int").alias("score")
+        F.col(cols[word_col]).alias("word"), F.col(cols[score_col]).cast("double").cast("int").alias("score")
     ).filter(F.col("word").isNotNull())
 
 

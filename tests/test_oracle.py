@@ -23,4 +23,4 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle_except_trainers():
-    assert set(QUERIES) - set(ORACLES) == {"embed_word2vec", "embed_subword", "embed_glove", "expansion_end_to_end"}
+    assert set(QUERIES) - set(ORACLES) == {"embed_glove", "expansion_end_to_end"}

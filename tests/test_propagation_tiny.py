@@ -22,7 +22,7 @@ def _labels(spark, nodes, seeds):
 
 
 def _run(spark, edges, labels, method="label_propagation", iterations=3, alpha=0.2):
-    out = pr.propagate(edges, labels, method, iterations, alpha, split_ids=[1]).collect()
+    out = pr.propagate(edges, labels, method, iterations, alpha).collect()
     return {r["word"]: (r["y_pred"], round(r["y_conf"], 9), list(r["y_top3_classes"])) for r in out}
 
 
@@ -135,8 +135,27 @@ def test_spreading_can_relabel_train_word(spark):
 def test_confidences_sum_to_one_or_zero(spark):
     e = _edges(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)])
     lab = _labels(spark, "abcde", {"a": 0, "d": 1})
-    state = pr.label_propagation(e, lab, 3, split_ids=[1])
+    state = pr.label_propagation(e, lab, 3)
     tot = state.groupBy("word").agg(F.sum("score").alias("t"))
     conf = state.join(tot, "word").groupBy("word").agg(F.sum(F.col("score") / F.col("t")).alias("s")).collect()
     for r in conf:
         assert abs(r["s"] - 1.0) < 1e-12
+
+
+def test_hubs_are_dealt_into_parts(spark):
+    """A star: no partition of the kept edges holds more than a small share, and the results are those
+    of the plain sums."""
+    n = 3000
+    spokes = [(f"s{i}", "hub", 1.0) for i in range(n)] + [("hub", f"s{i}", 1.0) for i in range(n)]
+    ring = [(f"s{i}", f"s{(i + 1) % n}", 1.0) for i in range(n)]
+    edges = spark.createDataFrame(spokes + ring, "src string, dst string, weight double")
+    dealt, hubs = pr.split_hubs(edges)
+    assert [r.dst for r in hubs.collect()] == ["hub"]
+    parts = dealt.filter("dst = 'hub'").groupBy("part").count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < n / 5
+    labels = spark.createDataFrame([(1, "hub", -1)] + [(1, f"s{i}", 1 if i < 10 else 2 if i < 15 else -1) for i in range(n)], "split_id int, word string, y_train int")
+    out = {(r.word, r.synset): r.score for r in pr.label_propagation(edges, labels, 1).collect()}
+    assert abs(out["hub", 1] - 10 / n) < 1e-9 and abs(out["hub", 2] - 5 / n) < 1e-9
+    s = {(r.word, r.synset): r.score for r in pr.label_spreading(edges, labels, 1, 0.2).collect()}
+    # D of the hub is n, of the others 2
+    assert abs(s["hub", 1] - 0.2 * 10 / np.sqrt(2 * n)) < 1e-9

@@ -63,3 +63,34 @@ def test_dot_top_k_with_exclusions_and_partitions(spark, block_rows):
             for _, w in sorted(cands)[:6]:
                 want.add((part, s, w))
     assert got == want
+
+
+def _brute(vectors, k=None, radius=None):
+    n = len(vectors)
+    d = np.sqrt(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
+    out = set()
+    for i in range(n):
+        js = sorted((d[i, j], j) for j in range(n) if j != i)
+        out |= {(i, j) for _, j in js[:k]} if k else {(i, j) for x, j in js if x <= radius}
+    return out
+
+
+@pytest.mark.parametrize("offset,spread", [(0.0, 1.0), (1e5, 1e-2), (1e4, 1e-3)])
+@pytest.mark.parametrize("block_rows", [17, 1000])
+def test_vectors_far_from_the_origin(spark, offset, spread, block_rows):
+    rng = np.random.default_rng(4)
+    v = offset + spread * rng.standard_normal((60, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "word long, vector array<double>")
+    args = dict(left_id="word", right_id="word", exclude_same_id=True, block_rows=block_rows)
+    got = {(r.src, r.dst) for r in similarity_join(df, df, k=5, **args).collect()}
+    assert got == _brute(v, k=5)
+    got = {(r.src, r.dst) for r in similarity_join(df, df, radius=2.0 * spread, **args).collect()}
+    assert got == _brute(v, radius=2.0 * spread)
+
+
+def test_equal_vectors_give_k_pairs_each(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(120)], "word long, vector array<double>")
+    for block_rows in (25, 1000):
+        out = similarity_join(df, df, left_id="word", right_id="word", exclude_same_id=True, k=3, block_rows=block_rows).collect()
+        want = {(i, j) for i in range(120) for j in [x for x in range(5) if x != i][:3]}
+        assert len(out) == 360 and {(r.src, r.dst) for r in out} == want
