@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import zlib
+from types import ModuleType
 
 import numpy as np
 
@@ -12,11 +15,13 @@ import numpy as np
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-# Characters that NFC leaves alone and that have a lower case of one character each.
-_SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Characters that NFC leaves alone and that have a lower case of one character each, and white space.
+_SAFE = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
+_MARKS = re.compile(r"[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]{2}")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _WORDS_AT_ONCE = 64
-PIECE_BYTES = 1 << 20
+SEGMENT = 1 << 16
 
 
 def tokenizer_text(path: str) -> str:
@@ -42,27 +47,44 @@ def load(text: str):
     return t
 
 
-def words_of(chunk: str) -> list[str]:
-    """The words of a chunk without white space. Chunks with unusual characters or what might be a
-    special token stay whole; the tokenizer splits those."""
-    if _SAFE.fullmatch(chunk) and "<|" not in chunk:
-        return _PIECES.findall(chunk.lower())
-    return [chunk]
-
-
-def parts(text: str | None, most: int = PIECE_BYTES):
-    """The text's chunks between ASCII white space, as bytes, in lists for about ``most`` bytes each."""
-    data = (text or "").encode()
-    if len(data) <= most:
-        yield data.split()
-        return
+def segments(text: str | None, most: int = SEGMENT):
+    """The text in pieces of about ``most`` characters, cut at white space."""
+    text = text or ""
     at = 0
-    while at < len(data):
-        end = at + most
-        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        yield data[at:end].split()
-        at = end
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
+def words(segment: str) -> list[str]:
+    """The words of a segment. Where it has unusual characters, or what might be a special token,
+    those chunks between white space stay whole; the tokenizer splits them."""
+    if _SAFE.fullmatch(segment) and "<|" not in segment:
+        return _PIECES.findall(segment.lower())
+    out: list[str] = []
+    for raw in segment.encode().split():  # on bytes only ASCII white space splits
+        chunk = raw.decode()
+        if _SAFE.fullmatch(chunk) and "<|" not in chunk:
+            out += _PIECES.findall(chunk.lower())
+        else:
+            out.append(chunk)
+    return out
+
+
+def chunks(segment: str) -> list[str]:
+    """Parts of a segment that are encoded one by one: words, or chunks that :func:`words` cuts
+    further. Full stops and commas that stand alone are cut off here already, which makes most
+    parts words."""
+    if not _SAFE.fullmatch(segment) or "<|" in segment:
+        return [c.decode() for c in segment.encode().split()]  # on bytes only ASCII white space splits
+    low = segment.lower()
+    if not _MARKS.search(low):
+        low = low.replace(".", " . ").replace(",", " , ")
+    return low.split()
 
 
 class WordEncoder:
@@ -97,34 +119,57 @@ class Encoder:
 
     def __init__(self, tokenizer, dtype: str = "<u4", room: int = 1 << 20):
         self.coder, self.dtype, self.room = WordEncoder(tokenizer), dtype, room
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        split = {c: words_of(c.decode()) for c in chunks}
-        new = list({w for ws in split.values() for w in ws if w not in self.words})
-        for w, ids in zip(new, self.coder.encode(new)):
-            self.words[w] = np.array(ids, self.dtype).tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        split = {c: words(c) for c in new}
+        unknown = list({w for ws in split.values() for w in ws if w not in self.known})
+        ids = self.coder.encode(unknown)
+        data = np.array([i for x in ids for i in x], self.dtype).tobytes()
+        at, width = 0, np.dtype(self.dtype).itemsize
+        for w, x in zip(unknown, ids):
+            self.known[w] = data[at : at + width * len(x)]
+            at += width * len(x)
         for c, ws in split.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian integers."""
-        out = []
-        for part in parts(text):
-            new = {c for c in part if c not in self.chunks}
-            if new:
-                self._learn(new)
-            out.append(b"".join([self.chunks[c] for c in part]))
-        if len(self.chunks) + len(self.words) > self.room:
-            self.chunks.clear()
-            self.words.clear()
-        return b"".join(out)
-
-    def warm(self, texts: list[str | None]) -> None:
-        """Learns the new words of several texts in one go."""
-        new: set[bytes] = set()
-        for t in texts:
-            for part in parts(t):
-                new.update(c for c in part if c not in self.chunks)
-        self._learn(new)
+            if c not in self.known:
+                self.known[c] = b"".join([self.known[w] for w in ws])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian integers."""
+        of, cut = [], []
+        for i, t in enumerate(texts):
+            for s in segments(t):
+                of.append(i)
+                cut.append(chunks(s))
+        found = [list(map(self.known.get, cs)) for cs in cut]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        self._learn(list({c for i in gaps for c, f in zip(cut[i], found[i]) if f is None}))
+        for i in gaps:
+            found[i] = [self.known[c] for c in cut[i]]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, f in zip(of, found):
+            out[i].append(b"".join(f))
+        if len(self.known) > self.room:
+            self.known.clear()
+        return [b"".join(x) for x in out]
+
+
+def worker_encoder(text: str, dtype: str) -> Encoder:
+    """The encoder of this Python process: the tasks that a worker runs share the words it knows."""
+    held = sys.modules.setdefault("_lexiprop_encoders", ModuleType("_lexiprop_encoders")).__dict__
+    key = f"{zlib.crc32(text.encode())}-{len(text)}-{dtype}"
+    if key not in held:
+        held[key] = Encoder(load(text), dtype)
+    return held[key]
+
+
+def batches_of(texts: list[str | None], most: int = 1 << 21):
+    """Slices of a list of texts, of about ``most`` characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]

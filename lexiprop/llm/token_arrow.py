@@ -28,7 +28,6 @@ from lexiprop.llm import bpe_words
 from lexiprop.llm.common import column, shared_path, stored
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 2
-_TEXTS_AT_ONCE = 256
 
 
 def _file(path: str):
@@ -45,7 +44,7 @@ class SequenceWriter:
         where.create_dir(name.rpartition("/")[0], recursive=True)
         self.length, self.full, self.dtype = length, length * batch, dtype
         kind = pa.from_numpy_dtype(np.dtype(dtype))
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = where.open_output_stream(name)
         self.out = pa.ipc.new_stream(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -63,7 +62,7 @@ class SequenceWriter:
             self.held, self.size = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -86,18 +85,18 @@ class SequenceFile:
         self.source = pa.memory_map(name) if local else where.open_input_file(name)
         self.batches = list(pa.ipc.open_stream(self.source))
         self.ids = [b.column(0).flatten().to_numpy() for b in self.batches]
-        self.masks = [b.column(1).flatten().to_numpy() for b in self.batches]
+        self.masks = [b.column(1).flatten() for b in self.batches]
         self.length = self.batches[0].schema.field(0).type.list_size if self.batches else 0
         self.per_batch = self.batches[0].num_rows if self.batches else 1
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``, without a copy."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (one bit an id) of sequence ``i``, without a copy."""
         b, r = divmod(i, self.per_batch)
-        at = slice(r * self.length, (r + 1) * self.length)
-        return self.ids[b][at], self.masks[b][at]
+        at = r * self.length
+        return self.ids[b][at : at + self.length], self.masks[b].slice(at, self.length)
 
     def runs(self, start: int, n: int):
         """The ids from ``start`` on, ``n`` of them, as views of one batch each."""
@@ -105,7 +104,7 @@ class SequenceFile:
         while n:
             b, r = divmod(start, full)
             view = self.ids[b][r : r + n]
-            if not len(view) or not self.masks[b][r + len(view) - 1]:
+            if not len(view) or not self.masks[b][r + len(view) - 1].as_py():
                 raise ValueError("the file ends before the ids that were asked for")
             yield view
             start, n = start + len(view), n - len(view)
@@ -125,19 +124,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches):
         task = TaskContext.get()
         name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder, out, places = bpe_words.Encoder(bpe_words.load(model), dtype), None, []
-        end = np.array([end_id], dtype)
+        encoder, out, places = bpe_words.worker_encoder(model, dtype), None, []
+        end = np.array([end_id], dtype).tobytes()
         for b in batches:
-            ids_of, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, b.num_rows, _TEXTS_AT_ONCE):
-                some = texts.slice(i, _TEXTS_AT_ONCE).to_pylist()
-                encoder.warm(some)
-                for doc_id, t in zip(ids_of[i : i + _TEXTS_AT_ONCE], some):
-                    out = out or SequenceWriter(f"{name}.arrow", dtype, length, batch)
-                    ids = np.frombuffer(encoder.encode(t), dtype)
-                    places.append((doc_id, out.total, len(ids) + 1))
+            ids_of = b.column(0).to_pylist()
+            for i, some in bpe_words.batches_of(b.column(1).to_pylist()):
+                out = out or SequenceWriter(f"{name}.arrow", dtype, length, batch)
+                for doc_id, data in zip(ids_of[i : i + len(some)], encoder.encode(some)):
+                    ids = np.frombuffer(data + end, dtype)
+                    places.append((doc_id, out.total, len(ids)))
                     out.add(ids)
-                    out.add(end)
         if out is None:
             return
         out.close()
