@@ -29,7 +29,7 @@ from lexiprop.llm import bpe_words
 from lexiprop.llm.common import column, stored
 
 #: Bytes of text in a block, parts the words are dealt into, and words remembered while a part is encoded.
-BLOCK_BYTES, BUCKETS, ROOM = 8 << 20, 64, 1 << 20
+BLOCK_BYTES, BUCKETS, ROOM = 32 << 20, 64, 1 << 20
 _ROWS = "block string, bucket int, words binary, at binary, docs array<long>, lengths array<long>"
 _DOCS = -1
 
@@ -56,21 +56,20 @@ class Block:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.chunks: dict[bytes, tuple[int, ...]] = {}
         self.codes: list[np.ndarray] = []
         self.docs: list[int | None] = []
         self.lengths: list[int] = []
         self.bytes = 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        number, known, length = self.number, self.chunks, 0
-        for part in bpe_words.parts(text):
-            for c in part:
-                if c not in known:
-                    known[c] = tuple([number.setdefault(w, len(number)) for w in bpe_words.words_of(c.decode())])
-            codes = np.array([i for c in part for i in known[c]], np.uint32)
-            self.codes.append(codes)
-            length += len(codes)
+        number, length = self.number, 0
+        for segment in bpe_words.segments(text):
+            words = bpe_words.words(segment)
+            for w in words:
+                if w not in number:
+                    number[w] = len(number)
+            self.codes.append(np.array([number[w] for w in words], np.uint32))
+            length += len(words)
         self.docs.append(doc_id)
         self.lengths.append(length)
         self.bytes += len(text or "")
