@@ -134,3 +134,12 @@ def mean_over_splits(stats: DataFrame, group_cols: list[str] | None = None, metr
             F.sort_array(F.collect_list(F.struct("split_id", metric))), lambda x: x[metric]
         ).alias("accuracies"),
     )
+
+
+def sort_evaluation(evaluation: DataFrame, by: str = "word") -> DataFrame:
+    """The evaluation in the order of its words, or by falling confidence (ties by word)."""
+    if by == "word":
+        return evaluation.orderBy("word")
+    if by == "confidence":
+        return evaluation.orderBy(F.round("y_conf", 9).desc(), F.col("word").asc())
+    raise ValueError(by)

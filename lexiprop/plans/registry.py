@@ -10,6 +10,7 @@ QUERY_MODULES = (
     "lexiprop.plans.baseline_queries",
     "lexiprop.plans.review_queries",
     "lexiprop.plans.io_queries",
+    "lexiprop.plans.source_queries",
 )
 
 

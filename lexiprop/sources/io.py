@@ -182,7 +182,7 @@ def write_stats_json(stats: DataFrame, path: str, mode: str = "overwrite") -> No
     stats.write.mode(mode).json(path)
 
 
-def read_run_stats(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
+def read_run_stats(spark: SparkSession, pattern: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Every run's statistics file with its path (``run_path``)."""
     reader = spark.read.option("multiLine", True)
     if schema:
