@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiprop.llm import bpe_words
-from lexiprop.llm.common import column, stored
+from lexiprop.llm.common import column, release_memory, stored, texts_of
 
 #: Bytes of text in a block, parts the words are dealt into, and words remembered while a part is encoded.
 BLOCK_BYTES, BUCKETS, ROOM = 32 << 20, 64, 1 << 20
@@ -35,20 +35,31 @@ _DOCS = -1
 
 
 def _pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    """The length of ``data``, the packed length and the packed bytes."""
+    packed = pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed
 
 
-def _unpack(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+def _unpack(data: bytes, at: int = 0) -> tuple[bytes, int]:
+    """What was packed at ``at``, and where it ends."""
+    size, packed = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
+    end = at + 16 + packed
+    return pa.decompress(data[at + 16 : end], size, codec="zstd", asbytes=True), end
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Integers with their lowest bytes first, then the next, which packs well."""
-    return _pack(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return b"".join([_pack((values >> np.uint32(shift)).astype(np.uint8).tobytes()) for shift in (0, 8, 16, 24)])
 
 
 def _values(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    out, at = None, 0
+    for shift in (0, 8, 16, 24):
+        plane, at = _unpack(data, at)
+        plane = np.frombuffer(plane, np.uint8)
+        out = np.zeros(len(plane), "<u4") if out is None else out
+        out |= plane.astype("<u4") << np.uint32(shift)
+    return out
 
 
 class Block:
@@ -77,6 +88,7 @@ class Block:
     def rows(self, name: str, buckets: int):
         """The word lists by bucket, then the documents."""
         codes = np.concatenate([np.empty(0, np.uint32), *self.codes])
+        self.codes.clear()
         # the commonest words get the smallest numbers, which pack best
         order = np.argsort(-np.bincount(codes, minlength=len(self.number)), kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -89,7 +101,9 @@ class Block:
                 words.sort()
                 at = rank[[self.number[w] for w in words]]
                 yield name, bucket, _pack("\n".join(words).encode()), _planes(at), None, None
-        yield name, _DOCS, None, _planes(rank[codes] if len(codes) else codes), self.docs, self.lengths
+        if len(codes):
+            np.take(rank, codes, out=codes)
+        yield name, _DOCS, None, _planes(codes), self.docs, self.lengths
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -111,12 +125,14 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int =
             n, block = n + 1, Block()
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b, 1)):
                 if block.docs and block.bytes + len(text or "") > block_bytes:
                     yield from full()
                 block.add(doc_id, text)
         if block.docs:
             yield from full()
+        del block
+        release_memory()
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     return stored(rows.mapInArrow(run, _ROWS), "blocks")
@@ -130,7 +146,7 @@ def encode_buckets(blocks: DataFrame, model: str, room: int = ROOM) -> DataFrame
     met = words.repartition("bucket").sortWithinPartitions("bucket", "block")
 
     def run(batches):
-        coder = bpe_words.WordEncoder(bpe_words.load(model))
+        coder = bpe_words.worker_coder(model)
         known: dict[str, list[int]] = {}
         bucket = None
         for b in batches:
@@ -138,7 +154,7 @@ def encode_buckets(blocks: DataFrame, model: str, room: int = ROOM) -> DataFrame
                 if row["bucket"] != bucket or len(known) > room:
                     known.clear()
                     bucket = row["bucket"]
-                own = _unpack(row["words"]).decode().split("\n")
+                own = _unpack(row["words"])[0].decode().split("\n")
                 new = [w for w in own if w not in known]
                 known.update(zip(new, coder.encode(new)))
                 ids = [known[w] for w in own]
@@ -149,6 +165,8 @@ def encode_buckets(blocks: DataFrame, model: str, room: int = ROOM) -> DataFrame
                     ["block", "bucket", "ids", "counts", "at"],
                     [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()],
                 )
+        known.clear()
+        release_memory()
 
     return met.mapInArrow(run, "block string, bucket int, ids binary, counts binary, at binary")
 
@@ -190,7 +208,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
             yield (doc_id, total, *shas, own.tolist(), text)[: len(names)]
 
     def run(batches):
-        t = bpe_words.load(model)
+        t = bpe_words.worker_coder(model).tokenizer
         table = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         lists: list[dict] = []
         for b in batches:
@@ -207,6 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
                 if out:
                     yield _batch(out, names, kinds)
                 lists = []
+        release_memory()
 
     kinds_sql = ["long", "long", "string", "string", "array<long>", "string"]
     return met.mapInArrow(run, ", ".join(f"{a} {k}" for a, k in zip(names, kinds_sql)))

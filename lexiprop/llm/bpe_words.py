@@ -118,7 +118,7 @@ class Encoder:
     """Encodes texts; each distinct word is encoded once, as long as ``room`` lasts."""
 
     def __init__(self, tokenizer, dtype: str = "<u4", room: int = 1 << 20):
-        self.coder, self.dtype, self.room = WordEncoder(tokenizer), dtype, room
+        self.coder, self.dtype, self.room = tokenizer if isinstance(tokenizer, WordEncoder) else WordEncoder(tokenizer), dtype, room
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
@@ -154,15 +154,24 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
-def worker_encoder(text: str, dtype: str) -> Encoder:
-    """The encoder of this Python process: the tasks that a worker runs share the words it knows."""
+def _of_worker(key: str, make):
+    """What this Python process keeps from task to task."""
     held = sys.modules.setdefault("_lexiprop_encoders", ModuleType("_lexiprop_encoders")).__dict__
-    key = f"{zlib.crc32(text.encode())}-{len(text)}-{dtype}"
     if key not in held:
-        held[key] = Encoder(load(text), dtype)
+        held[key] = make()
     return held[key]
 
 
+def worker_coder(text: str) -> WordEncoder:
+    """The tokenizer of this Python process."""
+    return _of_worker(f"{zlib.crc32(text.encode())}-{len(text)}", lambda: WordEncoder(load(text)))
+
+
+def worker_encoder(text: str, dtype: str) -> Encoder:
+    """The encoder of this Python process: the tasks that a worker runs share the words it knows."""
+    return _of_worker(f"{zlib.crc32(text.encode())}-{len(text)}-{dtype}", lambda: Encoder(worker_coder(text), dtype))
+
+
 def batches_of(texts: list[str | None], most: int = 1 << 21):
     """Slices of a list of texts, of about ``most`` characters."""
     start = size = 0

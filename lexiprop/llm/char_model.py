@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiprop.llm.common import texts_of
+
 SYMBOLS = 28
 ORDER = 4
 OTHER = SYMBOLS - 1
@@ -77,7 +79,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(_CELLS, np.int64)
         for b in batches:
-            total += count_ngrams(b.column(0).to_pylist())
+            total += count_ngrams(texts_of(b, 0))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 

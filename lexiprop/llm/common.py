@@ -45,6 +45,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def texts_of(batch, at: int, rows: int = 512):
+    """The texts of an Arrow batch's column, a few at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield from batch.column(at).slice(i, rows).to_pylist()
+
+
+def release_memory() -> None:
+    """Gives memory that a Python task no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """Column ``name`` as ``kind``; all null where the table has no such column."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)

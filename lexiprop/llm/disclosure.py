@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import column, join_groups, stored
+from lexiprop.llm.common import column, join_groups, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
@@ -120,7 +120,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             spans, entities, texts = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in texts_of(b, 1):
                 text = text or ""
                 found = base_spans(text)
                 first: dict[str, int] = {}
@@ -159,7 +159,7 @@ def document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         known: dict[str, tuple[str, ...]] = {}
         for b in batches:
             counts: Counter = Counter()
-            for text in b.column(0).to_pylist():
+            for text in texts_of(b, 0):
                 chunks = set((text or "").split())
                 if len(known) > 1 << 19:
                     known.clear()

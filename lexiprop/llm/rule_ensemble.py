@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import column, stored
+from lexiprop.llm.common import column, stored, texts_of
 from lexiprop.llm.toxicity_channel import held_out
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
@@ -76,7 +76,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     def run(batches):
         table = _kind_of_byte()
         for b in batches:
-            rows = [statistics(t, table) for t in b.column(1).to_pylist()]
+            rows = [statistics(t, table) for t in texts_of(b, 1)]
             values = np.array(rows, float).reshape(-1, len(STATISTICS)).T
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in values)], ["doc_id", *STATISTICS])
 

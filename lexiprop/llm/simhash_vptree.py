@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import column, join_groups, stored
+from lexiprop.llm.common import column, join_groups, release_memory, stored, texts_of
 from lexiprop.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -77,8 +77,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in b.column(1).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, shingle_words) for t in texts_of(b, 1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        release_memory()
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")

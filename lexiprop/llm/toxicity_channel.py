@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiprop.llm import char_model
-from lexiprop.llm.common import column, stored
+from lexiprop.llm.common import column, release_memory, stored, texts_of
 from lexiprop.llm.lasso import fit_lasso
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -76,7 +76,7 @@ class Reader:
     """Words and stems of a text, written and restored. Distinct chunks are decoded once; the memory of
     them is emptied when ``room`` is used up."""
 
-    def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None, room: int = 1 << 19):
+    def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None, room: int = 1 << 18):
         self.model, self.wanted, self.room, self.known = model, wanted, room, {}
         self.heads = {m[: STEMS[0]] for m in wanted or () if m.endswith(STEM)}
 
@@ -164,9 +164,11 @@ class ToxicityModel:
         def run(batches):
             score = self.scorer()
             for b in batches:
-                texts = b.column(text_at).to_pylist() if text_at is not None else [None] * b.num_rows
+                texts = texts_of(b, text_at) if text_at is not None else [None] * b.num_rows
                 scores = pa.array([score(None if t is None else str(t)) for t in texts], pa.float64())
                 yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
+            del score
+            release_memory()
 
         return docs.mapInArrow(run, schema)
 
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN_ROWS, max_marks:
         reader = Reader(table)
         for b in batches:
             n: list[Counter] = [Counter(), Counter()]
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, label in zip(texts_of(b, 0), b.column(1).to_pylist()):
                 n[label].update(reader.words(text))
             marks = sorted(n[0].keys() | n[1].keys())
             sums = [pa.array([n[k][m] for m in marks], pa.int64()) for k in (1, 0)]
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN_ROWS, max_marks:
     def find(batches):
         reader = Reader(table, at)
         for b in batches:
-            found = [sorted(reader.words(t)) for t in b.column(0).to_pylist()]
+            found = [sorted(reader.words(t)) for t in texts_of(b, 0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "marks"])
 
     # texts with the same marks make one line; there are at most as many lines as training rows
