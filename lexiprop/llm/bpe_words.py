@@ -75,6 +75,11 @@ def words(segment: str) -> list[str]:
     return out
 
 
+def _simple(chunk: str) -> bool:
+    """Whether it is one word of the letters a to z."""
+    return chunk.isascii() and chunk.isalpha() and chunk.islower()
+
+
 def chunks(segment: str) -> list[str]:
     """Parts of a segment that are encoded one by one: words, or chunks that :func:`words` cuts
     further. Full stops and commas that stand alone are cut off here already, which makes most
@@ -97,8 +102,10 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in words]
-        plain = [i for i, w in enumerate(words) if _PIECES.fullmatch(w)]
-        odd = [i for i, w in enumerate(words) if not _PIECES.fullmatch(w)]
+        plain: list[int] = []
+        odd: list[int] = []
+        for i, w in enumerate(words):
+            (plain if _simple(w) or _PIECES.fullmatch(w) else odd).append(i)
         lines = [plain[i : i + _WORDS_AT_ONCE] for i in range(0, len(plain), _WORDS_AT_ONCE)]
         found = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False)
         for line, e in zip(lines, found):
@@ -122,7 +129,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        split = {c: words(c) for c in new}
+        split = {c: [c] if _simple(c) else words(c) for c in new}
         unknown = list({w for ws in split.values() for w in ws if w not in self.known})
         ids = self.coder.encode(unknown)
         data = np.array([i for x in ids for i in x], self.dtype).tobytes()
