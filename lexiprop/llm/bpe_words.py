@@ -4,6 +4,7 @@ across it: the ids of a text are those of its words, one after another."""
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
@@ -39,6 +40,8 @@ def tokenizer_text(path: str) -> str:
 
 
 def load(text: str):
+    # Spark runs a task on each core already; more threads in each only wait for one another
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(text)
