@@ -6,7 +6,8 @@ other byte" make 28 symbols, so the table has 28**4 cells whatever the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -35,6 +36,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: Costs of the noisy channel (negative logarithms of guessed rates).
 COST_LOOKS_LIKE, COST_DROPPED, COST_ANY, COST_SINGLE, COST_NEW_WORD = 1.0, 2.0, 4.0, 1.5, 0.5
+#: ... of a look-alike sign at the start or end of a word that is plain punctuation.
+COST_PUNCTUATION = 1.0
 
 
 def _byte_symbols() -> np.ndarray:
@@ -136,27 +139,55 @@ def options(char: str, run: int) -> list[tuple[str, float]]:
     return [(x, c + COST_SINGLE * (run == 2)) for x, c in base] + [(x * 2, c) for x, c in base]
 
 
-def decode(written: str, model: np.ndarray, spaced: bool = False) -> str:
+@lru_cache(maxsize=1 << 14)
+def _choices(char: str, run: int, edge: bool, spaced: bool) -> list[tuple[str, float, tuple[int, ...]]]:
+    """The options of a run with their symbols."""
+    found = options(char, run)
+    if edge and char in LOOKS_LIKE:
+        found = [*found, ("", COST_PUNCTUATION)]
+    if spaced:
+        found = found + [(" " + x, c + COST_NEW_WORD) for x, c in found if x]
+    return [(x, c, tuple(map(_symbol, x))) for x, c in found]
+
+
+def _lattice(written: str, spaced: bool, edges: bool) -> Iterator[list[tuple[str, float, tuple[int, ...]]]]:
+    """The choices of each run of equal characters; of more than two of a kind the number doesn't matter."""
+    runs = [(char, min(sum(1 for _ in group), 3)) for char, group in groupby(written)]
+    inner = [i for i, (char, _) in enumerate(runs) if char.isalnum()] if edges else []
+    for i, (char, run) in enumerate(runs):
+        yield _choices(char, run, bool(inner) and not inner[0] <= i <= inner[-1], spaced)
+
+
+def may_begin(written: str, beginnings: set[str], length: int, edges: bool = False) -> bool:
+    """False only if no restored text of a word can be one of, or start with one of, the texts whose first
+    0 to ``length`` letters are ``beginnings``."""
+    found = {""}
+    for choices in _lattice(written, False, edges):
+        found = {t for t in {(p + x)[:length] for p in found for x, _, _ in choices} if t in beginnings}
+        if not found or any(len(t) == length for t in found):
+            break
+    return bool(found)
+
+
+def decode(written: str, model: np.ndarray, spaced: bool = False, edges: bool = False) -> str:
     """The likeliest restored text of an obfuscated word: Viterbi over the lattice of what each
     run of characters may stand for. The state is the last three symbols.
 
     ``spaced``: the characters stood apart, so a new word may begin before any of them.
+    ``edges``: signs before the first and behind the last letter or digit may be plain punctuation.
     """
+    costs = memoryview(np.ascontiguousarray(model, np.float64).reshape(-1))  # plain floats, which are faster one by one
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     keep = SYMBOLS**2
-    for char, group in groupby(written):
-        choices = options(char, sum(1 for _ in group))
-        if spaced:
-            choices = choices + [(" " + x, c + COST_NEW_WORD) for x, c in choices if x]
+    for choices in _lattice(written, spaced, edges):
         after: dict[int, tuple[float, str]] = {}
         for state, (cost, text) in states.items():
-            for add, extra in choices:
+            for add, extra, symbols in choices:
                 at, total = state, cost + extra
-                for c in add:
-                    s = _symbol(c)
-                    total += model[at, s]
+                for s in symbols:
+                    total += costs[at * SYMBOLS + s]
                     at = at % keep * SYMBOLS + s
                 if at not in after or (total, text + add) < after[at]:
                     after[at] = (total, text + add)
         states = after
-    return min((cost + model[at, 0], text) for at, (cost, text) in states.items())[1].strip()
+    return min((cost + costs[at * SYMBOLS], text) for at, (cost, text) in states.items())[1].strip()

@@ -1,9 +1,10 @@
 """Toxicity of restored text: a noisy channel undoes obfuscation, then learned words are scored.
 
 1. A character model is counted over every whole text.
-2. Words that look tampered with (letters mixed with digits or signs, letters repeated three
-   times or more, single letters standing apart) become lattices of what each character may
-   stand for; Viterbi decoding picks the likeliest text. Other words stay as they are.
+2. Words that may be tampered with (a character that looks like another letter, digits or signs
+   among letters, a repeated letter, single letters standing apart) become lattices of what each
+   character may stand for; Viterbi decoding picks the likeliest text, in which a sign at either
+   end may also be plain punctuation. Words are kept as written too; numbers stay numbers.
 3. From labelled rows outside the held-out fold, words and word stems (first letters) that
    mark toxic texts are found by their log-likelihood ratio and weighed by an L1 logistic
    regression; a mark that it keeps and that is sure by itself weighs at least its own log odds.
@@ -44,13 +45,16 @@ MOST_CLEAN = 0.01
 PENALTY = 1e-4
 #: Lengths of the stems of longer words; a stem ends in STEM.
 STEMS, STEM = (4, 5, 6), "~"
-#: Words of more characters are taken as written: no vocabulary word is that long.
+#: Of words with more runs of equal characters the first so many are restored, for their stems: no
+#: vocabulary word is that long.
 LONGEST_WORD = 40
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_HEAD, _TAIL = re.compile(r"^[^\w$@!|+(€]+"), re.compile(r"[^\w]+$")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_PAIRS = re.compile(r"([^\W\d_])\1")
+_SIGNS = re.escape("".join(c for c in char_model.LOOKS_LIKE if not c.isalnum()))
+_HEAD, _TAIL = re.compile(rf"^[^\w{_SIGNS}]+"), re.compile(rf"[^\w{_SIGNS}]+\Z")
+_ENDING = re.compile(r"[^\w]+\Z")
+_SUSPECT = re.compile(r"([^\W\d_])\1|[%s]" % re.escape("".join(char_model.LOOKS_LIKE)))
+_START = re.compile(r"(?:(.)\1*+){1,%d}" % LONGEST_WORD, re.S)
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -59,12 +63,18 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
 
 
 def tampered(core: str) -> bool:
-    """Whether a word without its outer punctuation looks obfuscated."""
-    if not 2 < len(core) <= LONGEST_WORD or core.isalpha() and not _PAIRS.search(core):
+    """Whether a word without its outer punctuation may be obfuscated."""
+    if len(core) < 3:
         return False
-    if not any(c.isalpha() for c in core):
-        return False
-    return not core.isalpha() or bool(_RUN.search(core)) or len(_PAIRS.findall(core)) > 2
+    if core.isalpha():
+        return bool(_SUSPECT.search(core))
+    # digits without a letter (or an @) are a number
+    return any(c.isalpha() or c == "@" for c in core) or not any(c.isdigit() for c in core)
+
+
+def bare(low: str) -> str:
+    """A chunk without the signs around it; signs before it that may stand for letters stay."""
+    return _ENDING.sub("", _HEAD.sub("", low))
 
 
 def marks_of(words: list[str]) -> list[str]:
@@ -79,19 +89,24 @@ class Reader:
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None, room: int = 1 << 18):
         self.model, self.wanted, self.room, self.known = model, wanted, room, {}
         self.heads = {m[: STEMS[0]] for m in wanted or () if m.endswith(STEM)}
+        self.beginnings = {m.rstrip(STEM)[:n] for m in wanted or () for n in range(STEMS[0] + 1)}
 
     def words_of(self, chunk: str) -> tuple:
         """Of a chunk between spaces: its marks, or the numbers of the wanted ones; True first if it is one character."""
         low = chunk.lower()
         if low.isalpha() or low[:-1].isalpha() and not low[-1].isalnum():  # most chunks: a word, maybe with a mark behind it
-            core = low if low[-1].isalpha() else low[:-1]
-            found = [core]
+            plain = low if low[-1].isalpha() else low[:-1]
+            core = low if low[-1] in char_model.LOOKS_LIKE else plain
+            found = [plain]
         else:
-            core = _TAIL.sub("", _HEAD.sub("", low))
+            plain, core = bare(low), _TAIL.sub("", _HEAD.sub("", low))
             found = _WORDS.findall(low)
         if tampered(core):
-            found += char_model.decode(core, self.model).split()
-        single = len(core) == 1 or len(low) == 1 and low in char_model.LOOKS_LIKE
+            core = _START.match(core)[0]
+            # words that can't become a wanted one need no decoding
+            if self.wanted is None or char_model.may_begin(core, self.beginnings, STEMS[0], edges=True):
+                found += char_model.decode(core, self.model, edges=True).split()
+        single = len(plain) == 1 or len(low) == 1 and low in char_model.LOOKS_LIKE
         return (single, *self.marks(found))
 
     def marks(self, words: list[str]) -> list:
@@ -132,7 +147,7 @@ class Reader:
         for c in [*chunks, ""]:
             if c and self.known[c][0]:
                 low = c.lower()
-                run.append(_TAIL.sub("", _HEAD.sub("", low)) or low[0])
+                run.append(bare(low) or low[0])
                 continue
             if len(run) > 2:
                 for i in range(0, max(1, len(run) - LONGEST_WORD // 2), LONGEST_WORD // 2):

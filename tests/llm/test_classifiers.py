@@ -65,6 +65,27 @@ def test_reader_restores_and_leaves_clean_words():
     assert "idiot" in r.words("x " * 3000 + "the i d i o t " + "y" * 10**6)
 
 
+def test_reader_restores_closing_signs_long_repeats_and_letters_of_other_alphabets():
+    words = "pathetic moron idiot loser scum worthless skull the of and in thing nation great".split()
+    r = tc.Reader(cm.log_model(cm.count_ngrams([" ".join(words)] * 50)))
+    for written in ("idio+", "IDIO+,", "1di0+", "(1di0t)", "i" * 30 + "d" * 30 + "iot", "1d10" + "t" * 50, "id\u0456\u043et", "ídiöt", "iddiot", "¡d1ot!", "idiot!", "idio+!"):
+        assert "idiot" in r.words(written), written
+    assert "skull" in r.words("skul|") and "loser" in r.words("£oser") and "scum" in r.words("the $cum!")
+    assert "idio~" in r.words("1d10t" + "/ab1" * 30)
+    assert "idiot" in r.words("i d i o t!") and "idiot" in r.words("i d i o +")
+    assert r.words("great! 2024 (12) $100 +49") == {"great", "grea~"}  # plain punctuation and numbers
+
+
+def test_words_left_undecoded_hold_no_mark():
+    rng = random.Random(3)
+    model = cm.log_model(cm.count_ngrams(["idiot loser scum ass of the and"] * 50))
+    marks = {m: i for i, m in enumerate(["idiot", "idio~", "lose~", "loser", "scum", "ass"])}
+    whole, sparing = tc.Reader(model), tc.Reader(model, marks)
+    for _ in range(3000):
+        word = "".join(rng.choice("1iídо0ot+lsécu$m5@ea!,*") for _ in range(rng.randrange(1, 7))) + rng.choice(["", "iot", "ser", "cum"])
+        assert {marks[m] for m in whole.words(word) if m in marks} == sparing.words(word), word
+
+
 def test_lasso_drops_what_does_not_matter():
     rng = np.random.default_rng(0)
     x = (rng.random((3000, 12)) < 0.3).astype(float)
