@@ -5,8 +5,9 @@
    its source and the excess is shared again by weight.
 2. Documents are counted by source and exact word length.
 3. For each source the target is whole passes over it plus a rest. Every length first gives
-   its proportional share of the rest, rounded down; a bounded knapsack over the lengths
-   and the documents left of each then fits what remains to the word.
+   its proportional share of the rest, rounded down; a knapsack over the lengths and the
+   documents left of each then fits all that remains, to the word where any choice of them does.
+   Its table is bounded by the longest text; a rest that fits it is met as nearly as any choice can.
 4. Documents are chosen by count for each length in a seeded hash order. Long lists are
    numbered in cells, so one length that holds a third of all rows is not ranked in one task.
 
@@ -30,8 +31,10 @@ WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
 CAP = 2
 SEED = 17
-#: Width of the knapsack table in words, and documents numbered in one cell.
+#: Least width of the knapsack table in words, and documents numbered in one cell.
 KNAPSACK_WORDS = 1 << 16
+#: The table has room for two of the longest texts, and for eight where that takes at most so many words.
+ROOMY_WORDS = 1 << 23
 CELL_ROWS = 4096
 #: One row a source goes to the driver; more sources than this are refused, not cut.
 MAX_SOURCES = 1_000_000
@@ -59,7 +62,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     width = min(2 * budget, budget + int(lengths[usable].max()))  # any sum beyond is farther off than some sum within
     reached = np.zeros(width + 1, bool)
     reached[0] = True
-    by = np.full(width + 1, -1, np.int64)
+    by = np.full(width + 1, -1, np.int32)
     items = []
     for i in usable:
         left, step = min(int(counts[i]), width // int(lengths[i])), 1
@@ -87,6 +90,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: int, width: int = KNAPS
     if not total or target <= 0:
         return 0, np.zeros(len(lengths), np.int64)
     passes, rest = divmod(target, total)
+    longest = int(lengths[counts > 0].max())
+    width = max(width, 2 * longest, min(8 * longest, ROOMY_WORDS))
     extra = np.array([int(c) * rest // total if n else 0 for n, c in zip(lengths, counts)], np.int64)
     left = rest - int((extra * lengths).sum())
     order = np.argsort(-lengths, kind="stable")
@@ -97,7 +102,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: int, width: int = KNAPS
                 k = min(int(counts[i] - extra[i]), (left - width) // n, most or left)
                 extra[i] += k
                 left -= k * n
-    return passes, extra + knapsack(lengths, counts - extra, min(left, width))
+    extra = extra + knapsack(lengths, counts - extra, left)
+    missed = abs(rest - int((extra * lengths).sum()))
+    if missed and rest <= width + longest:  # the shares given first may stand in the way of a nearer sum
+        whole = knapsack(lengths, counts, rest)
+        extra = whole if abs(rest - int((whole * lengths).sum())) < missed else extra
+    return passes, extra
 
 
 def mix(

@@ -63,6 +63,18 @@ def test_fit_meets_large_targets_exactly():
             assert (extra <= counts).all() and passes * total + int((extra * lengths).sum()) == target
 
 
+def test_fit_of_long_documents_drops_no_budget():
+    one = np.array([300_000]), np.array([1])
+    assert [int(x) for x in (bm.fit(*one, 570_000)[0], bm.fit(*one, 570_000)[1][0])] == [1, 1]  # 600,000 is nearest
+    assert bm.fit(np.array([80_000, 90_000, 100_000]), np.array([1, 1, 1]), 170_000)[1].tolist() == [1, 1, 0]
+    assert bm.fit(np.array([2, 3]), np.array([3, 2]), 6)[1].tolist() in ([0, 2], [3, 0])
+    lengths = np.arange(70_000, 74_000, 37)  # distinct lengths, so every proportional share is 0
+    counts = np.ones(len(lengths), np.int64)
+    target = int(lengths[[3, 20, 50, 70, 71, 90]].sum())
+    passes, extra = bm.fit(lengths, counts, target)
+    assert passes == 0 and (extra <= counts).all() and int((extra * lengths).sum()) == target
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["b", "é", "a", "a", "a", None])) for i in range(1500)]
