@@ -7,10 +7,11 @@
    every document with the term holds the entity.
 3. In documents that hold an entity, terms of a share of at least ``generalise_from`` become
    their shape, and from ``remove_from`` on they go. An estimate needs ``min_contexts`` different
-   surroundings of the entity, so that copies of one text are no evidence.
+   texts that hold the entity and the term, so that copies of one text are no evidence. Texts that
+   differ only in case and white space count as copies.
 
 Defined cases: a null text counts as empty; empty texts have no spans; repeated rows each
-come out (and count as documents, but as one context); rows without a doc_id are searched
+come out (and count as documents, but as one text); rows without a doc_id are searched
 like others; an empty table gives no rows; other columns are never read.
 """
 
@@ -31,8 +32,8 @@ from lexiprop.llm.common import column, join_groups, stored, texts_of
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
 MIN_CONTEXTS, GENERALISE_FROM, REMOVE_FROM = 3, 0.9, 0.97
-#: Words on each side that make the context of an entity, and the least letters of a term.
-CONTEXT_WORDS, TERM_LETTERS = 3, 3
+#: The least letters of a term.
+TERM_LETTERS = 3
 #: Bits of the filter that keeps words which are no candidate out of the shuffle (a fixed size).
 FILTER_BITS = 1 << 20
 
@@ -102,11 +103,10 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
     return out
 
 
-def _context(text: str, start: int, end: int) -> int:
-    """Hash of the words around a span."""
-    room = 40 * CONTEXT_WORDS
-    before, after = text[max(0, start - room) : start].split()[-CONTEXT_WORDS:], text[end : end + room].split()[:CONTEXT_WORDS]
-    return zlib.crc32(" ".join([*before, "|", *after]).encode())
+def _context(text: str) -> int:
+    """Digest of the whole text, the same for copies that differ in case and white space."""
+    same = " ".join(text.lower().split())
+    return int.from_bytes(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -115,7 +115,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find_entities(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, spans, entities)`` for every row: the text only where something was found, and
-    of each entity its name and first context."""
+    of each entity its name and the digest of the text."""
 
     def run(batches):
         for b in batches:
@@ -123,11 +123,10 @@ def find_entities(docs: DataFrame) -> DataFrame:
             for text in texts_of(b, 1):
                 text = text or ""
                 found = base_spans(text)
-                first: dict[str, int] = {}
-                for kind, s, e in found:
-                    first.setdefault(entity(kind, text[s:e]), _context(text, s, e))
+                names = dict.fromkeys(entity(kind, text[s:e]) for kind, s, e in found)
+                context = _context(text) if found else None
                 spans.append(joined(found))
-                entities.append([{"name": n, "context": c} for n, c in first.items()])
+                entities.append([{"name": n, "context": context} for n in names])
                 texts.append(text if found else None)
             kind = pa.list_(pa.struct([("name", pa.string()), ("context", pa.int64())]))
             yield pa.RecordBatch.from_arrays(

@@ -111,6 +111,19 @@ def test_thresholds_and_counts_over_rows(spark):
         assert got == _brute(rows, *limits)
 
 
+def test_different_texts_with_one_signature_are_evidence(spark):
+    closing = "Regards, Jane Doe <jane@x.example.org> Acme Corp Berlin"
+    rows = [(i, f"Letter about {w} matters. {closing} office. The end.") for i, w in enumerate(["garden", "money", "school", "travel"])]
+    copy = "Greetings from Quux Zorb <q@copy.example.org> Umbrella Town"
+    rows += [(10, copy), (11, copy.upper()), (12, copy.replace(" ", "  ")), (13, copy)]  # one text
+    rows += [(20 + i, "ordinary filler words about matters") for i in range(40)]
+    out = {r.doc_id: r for r in dc.find_private(_docs(spark, rows)).collect()}
+    for i in range(4):
+        assert not {"Jane", "Doe", "Acme", "Berlin"} & set(re.findall(r"\w+", out[i].sanitised)) and out[i].n_terms >= 5
+        assert "matters" in out[i].sanitised
+    assert all(out[i].n_terms == 0 for i in range(10, 14)) and "Quux" in out[10].sanitised
+
+
 def test_empty_table(spark):
     assert dc.find_private(_docs(spark, [])).count() == 0
 
