@@ -45,6 +45,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z lower-cased and all other characters as they are."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.octet_length(text) == F.length(text)  # the quick way, right for ASCII
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, letters, letters.lower()))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def texts_of(batch, at: int, rows: int = 512):
     """The texts of an Arrow batch's column, a few at a time."""
     for i in range(0, batch.num_rows, rows):

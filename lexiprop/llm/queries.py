@@ -9,10 +9,14 @@ from lexiprop.llm import (
     budget_mix,
     digest_index,
     disclosure,
+    license_join,
+    merkle_manifest,
+    oracles,
     quality_rules,
     rule_ensemble,
     shard_minimax,
     simhash_vptree,
+    source_divergence,
     token_arrow,
     toxicity_channel,
 )
@@ -71,6 +75,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.find_private(documents(spark, sf_dir)).drop("sanitised")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -82,6 +98,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_personal_data": op10_personal_data,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_license_scan": op12_license_scan,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
@@ -91,4 +110,7 @@ ORACLE = {
                      row_number() over (partition by text_sha256, doc_id) as copy from d)
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and copy = 1 as kept, text_sha256 from n
     """,
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op12_license_scan": oracles.license_scan(),
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
