@@ -11,6 +11,9 @@ Self joins (``right is left``) use unordered block pairs ``p <= q``: each row is
 replicated to ``B`` groups instead of ``2B`` and one block product serves both
 directions.  The block size follows a per-side memory budget, so a group holds
 at most two blocks of ``_SIDE_CELLS`` doubles whatever the input size.
+
+Right sides of more than ``PIVOT_ROWS`` rows go through ``pivots``: the same block products and
+the same result, but blocks meet only where triangle bounds of pivot cells allow a match.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiprop.operators.pivots import CELL_ROWS, PivotIndex, visited_pairs, visits
+from lexiprop.session import cut_lineage
+
 # Doubles per block side (64 MB); the block row count is this over the dimension.
 _SIDE_CELLS = 1 << 23
 # Upper bound for one block-product chunk (float64 cells).
@@ -31,6 +37,7 @@ DEFAULT_BLOCK_ROWS = None  # derived from the vector dimension
 
 
 _MIN_BLOCK_ROWS = 2048
+PIVOT_ROWS = 4096  # right rows from which on pivot cells pay
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -73,6 +80,7 @@ def similarity_join(
     exclude_key: str | None = None,
     by: str | None = None,
     block_rows: int | None = DEFAULT_BLOCK_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Pairs ``(src, dst, score)`` between ``left`` and ``right`` vectors.
 
@@ -85,6 +93,7 @@ def similarity_join(
       equal and not null are skipped (e.g. a synset and its own train words).
     * ``by``: column present on both sides; only rows with equal values pair up
       (e.g. ``split_id``), and it is kept in the output.
+    * ``cell_rows``: rows of a pivot cell; by default cells are used on large right sides only.
     """
     if (k is None) == (radius is None):
         raise ValueError("give exactly one of k or radius")
@@ -263,7 +272,52 @@ def similarity_join(
             }
         )
 
-    pairs = both.groupBy("part", "lb", "rb").applyInPandas(block_pairs, out_schema)
+    def visited(a: pd.DataFrame, b: pd.DataFrame, rows: np.ndarray, cells: np.ndarray) -> dict | None:
+        """The pairs of left rows ``a`` with the cells of ``b`` that they visit, cut to k by (score, dst)."""
+        avec, bvec = (np.stack(x["v"].to_numpy()).astype(np.float64, copy=False) for x in (a, b))
+        akey, bkey, aex, bex, bcell = a["key"].to_numpy(), b["key"].to_numpy(), a["ex"].to_numpy(), b["ex"].to_numpy(), b["cell"].to_numpy()
+        out: list = []
+        for c in np.unique(cells):
+            i, j = rows[cells == c], np.flatnonzero(bcell == c)
+            if len(j):
+                local_pairs(avec[i], bvec[j], akey[i], bkey[j], aex[i], bex[j], False, out)
+        if not out:
+            return None
+        src, dst, score = (np.concatenate([o[n] for o in out]) for n in range(3))
+        if not len(src):
+            return None
+        if kk is not None and len(out) > 1:
+            names = dst.astype(np.int64) if number_keys else np.unique(dst.astype(str), return_inverse=True)[1]
+            source = np.unique(src.astype(str), return_inverse=True)[1]
+            order = np.lexsort((names, -score if use_dot else score, source))
+            source = source[order]
+            keep = order[np.arange(len(order)) - np.searchsorted(source, source) < kk]
+            src, dst, score = src[keep], dst[keep], score[keep]
+        return {"src": src, "dst": dst, "score": score}
+
+    def by_pivots() -> DataFrame:
+        lrows, rrows = (prepared(df, key, side).select("part", "key", "v", "ex") for df, key, side in ((left, left_id, 0), (right, right_id, 1)))
+        index = PivotIndex(rrows, n_right, rows_per_block, cell_rows or CELL_ROWS)
+        lrows = lrows.withColumn("bound", F.lit(float("inf")))
+
+        def searched(rows: DataFrame, home_only: bool) -> DataFrame:
+            found = cut_lineage(visits(rows, index, use_dot, rows_per_block, n_left, home_only, radius))
+            return visited_pairs(found, index, visited, out_schema)
+
+        if k is None:
+            return searched(lrows, False)
+        first = cut_lineage(searched(lrows, True))
+        badness = -F.col("score") if use_dot else F.col("score")
+        best = Window.partitionBy("part", "src").orderBy(badness)
+        kth = first.select("part", F.col("src").alias("key"), F.row_number().over(best).alias("at"), badness.alias("kth")).filter(F.col("at") == k)
+        rest = lrows.drop("bound").join(kth.select("part", "key", F.col("kth").alias("bound")), ["part", "key"], "left")
+        rest = rest.select("part", "key", "v", "ex", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        return first.unionByName(searched(rest, False))
+
+    if n_left and n_right and (cell_rows or (block_rows is None and n_right > PIVOT_ROWS)):
+        pairs = by_pivots()
+    else:
+        pairs = both.groupBy("part", "lb", "rb").applyInPandas(block_pairs, out_schema)
     pairs = pairs.select(
         *([F.col("part").alias(by)] if by else []),
         F.col("src").cast(src_type).alias("src"),

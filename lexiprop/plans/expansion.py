@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from lexiprop.functions.text import DEFAULT_CORPUS_ACTIONS
 from lexiprop.operators import evaluate as ev
-from lexiprop.operators.corpus import clean_corpus, sentences
+from lexiprop.operators.corpus import clean_corpus, line_mode, sentences, stream_chunks
 from lexiprop.operators.embed import train_embeddings
 from lexiprop.operators.thesaurus import DEFAULT_THESAURUS_ACTIONS, clean_thesaurus
-from lexiprop.operators.vocab import cooccurrence, vocabulary
 from lexiprop.operators import graph as gr
 from lexiprop.operators import propagate as pr
 from lexiprop.operators import splits as sp
@@ -117,6 +116,8 @@ class EmbeddingOptions:
     method: str = "fasttext"
     size: int = 100
     window: int = 5
+    iter: int = 5
+    seed: int = 1
 
 
 def expand_from_corpus(
@@ -140,15 +141,13 @@ def expand_from_corpus(
     embedding = embedding or EmbeddingOptions()
     clean = clean_corpus(corpus, corpus_opts.actions, max_texts=corpus_opts.max_texts)
     sents = sentences(clean, corpus_opts.actions)
-    if embedding.method == "glove":
-        toks = sents.select("sentence_id", F.posexplode("tokens").alias("pos", "token")).withColumnRenamed("sentence_id", "doc_id")
-        cooc = cooccurrence(toks, vocabulary(toks), embedding.window)
-        vectors = train_embeddings("glove", sents, cooc=cooc, size=embedding.size)
-    else:
-        counts = vocabulary(sents.select(F.explode("tokens").alias("token")))
-        vectors = train_embeddings(
-            embedding.method, sents, counts=counts, size=embedding.size, window=embedding.window
-        )
+    stream = None
+    if embedding.method == "glove" and line_mode(corpus_opts.actions) == "single":
+        # windows run over the whole line; only the sentences of the other trainers are cut
+        stream = stream_chunks(clean).select(F.lit(0).alias("doc_id"), F.col("gpos").alias("pos"), "token")
+    vectors = train_embeddings(
+        embedding.method, sents, size=embedding.size, window=embedding.window, iter=embedding.iter, seed=embedding.seed, stream=stream
+    )
     vectors = cut_lineage(vectors)
     thesaurus = clean_thesaurus(concepts, vectors.select("word"), thesaurus_actions)
     return expand_thesaurus(vectors, thesaurus, graph, split, diffusion)

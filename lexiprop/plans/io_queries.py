@@ -1,4 +1,4 @@
-"""Registered queries for embeddings (row checks only) and file round trips.
+"""Registered queries for embeddings (trained ones: row checks only) and file round trips.
 
 Round trips write into the session's checkpoint folder (the shared folder on a
 cluster) and read the files back; their oracle is the input itself.
@@ -16,6 +16,7 @@ from lexiprop.operators import corpus as co
 from lexiprop.operators import embed as em
 from lexiprop.operators import graph as gr
 from lexiprop.operators import vocab as vo
+from lexiprop.operators.similarity import similarity_join
 from lexiprop.plans import oracle as o
 from lexiprop.plans.expansion import rounded
 from lexiprop.plans.graph_queries import _DEFAULT_GRAPH
@@ -59,8 +60,8 @@ def _sign_sql(word: str, i: int) -> str:
     return f"(1 - 2 * (({half} >> {i % 60}) & 1))"
 
 
-# the vectors of E1 component by component: pmi-weighted sums of seeded signs, then unit length
-E1_CTES = [
+# the projection component by component: pmi-weighted sums of seeded signs, then unit length
+PROJECTION_CTES = [
     *COOCCURRENCE_CTES,
     ("cooc", "select w1, w2, sum(weight) as weight from sym group by w1, w2"),
     ("tot", "select w2 as word, sum(weight) as total from cooc group by w2"),
@@ -68,60 +69,77 @@ E1_CTES = [
     ("pmi", "select c.w1, x.signs, ln(c.weight * (select sum(total) from tot) / (a.total * x.total)) as p "
             "from cooc c join tot a on a.word = c.w1 join ctx x on x.word = c.w2"),
     ("sums", "select w1 as word, [" + ", ".join(f"sum(p * signs[{i + 1}])" for i in range(EMBED_SIZE)) + "] as v from pmi where p > 0 group by w1"),
-    ("e1", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from sums"),
+    ("projected", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from sums"),
 ]
 
 
-@register(
-    "embed_word2vec",
-    o.with_ctes(E1_CTES, "select word, list_transform(vector, lambda x: round(round(x, 12), 6)) as vector from e1"),
-)
-def q_embed_word2vec(spark, sf_dir):
-    """E1 at the reference's size and window."""
-    return _rounded_vectors(em.word2vec(_sentences(spark, sf_dir), size=EMBED_SIZE, window=5))
+# rounded; a negative zero is zero in both engines
+ROUNDED_SQL = "list_transform(vector, lambda x: case when round(round(x, 12), 6) = 0 then 0.0::double else round(round(x, 12), 6) end) as vector"
 
 
 def _rounded_vectors(df):
-    return df.select("word", F.transform("vector", lambda x: F.round(F.round(x, 12), 6)).alias("vector"))
+    r = lambda x: F.round(F.round(x, 12), 6)
+    return df.select("word", F.transform("vector", lambda x: F.when(r(x) == 0, F.lit(0.0)).otherwise(r(x))).alias("vector"))
+
+
+@register("embed_projection", o.with_ctes(PROJECTION_CTES, f"select word, {ROUNDED_SQL} from projected"))
+def q_embed_projection(spark, sf_dir):
+    return _rounded_vectors(em.projection(_sentences(spark, sf_dir), size=EMBED_SIZE, window=5))
+
+
+@register("embed_word2vec", None)
+def q_embed_word2vec(spark, sf_dir):
+    """E1 at the reference's size, window and iterations."""
+    return em.word2vec(_sentences(spark, sf_dir))
+
 
+@register("embed_fasttext", None)
+def q_embed_fasttext(spark, sf_dir):
+    """E2 at the reference's size, window and iterations."""
+    return em.fasttext(_sentences(spark, sf_dir))
 
-E2_CTES = [
-    *E1_CTES,
-    ("marked", "select e.word, '<' || e.word || '>' as t, v.count as n from e1 e join vocab v using (word)"),
+
+SUBWORD_CTES = [
+    *PROJECTION_CTES,
+    ("marked", "select e.word, '<' || e.word || '>' as t, v.count as n from projected e join vocab v using (word)"),
     ("grams", "select distinct m.word, m.n, substr(m.t, i.i, k.k) as gram from marked m, (select unnest([3, 4, 5, 6]) as k) k, "
               "lateral (select unnest(range(1, cast(length(m.t) - k.k + 2 as bigint))) as i) i"),
-    ("comps", "select word, unnest(vector) as x, unnest(range(1, len(vector) + 1)) as d from e1"),
+    ("comps", "select word, unnest(vector) as x, unnest(range(1, len(vector) + 1)) as d from projected"),
     ("gv", "select g.gram, c.d, sum(g.n * c.x) / sum(g.n) as x from grams g join comps c using (word) group by g.gram, c.d"),
     ("via", "select word, d, x from comps union all select g.word, gv.d, gv.x from grams g join gv using (gram)"),
     ("means", "select word, d, avg(x) as x from via group by word, d"),
     ("raw2", "select word, list(x order by d) as v from means group by word"),
-    ("e2", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from raw2"),
+    ("subword", "select word, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from raw2"),
 ]
 
 
-@register(
-    "embed_subword",
-    o.with_ctes(E2_CTES, "select word, list_transform(vector, lambda x: round(round(x, 12), 6)) as vector from e2"),
-)
+@register("embed_subword", o.with_ctes(SUBWORD_CTES, f"select word, {ROUNDED_SQL} from subword"))
 def q_embed_subword(spark, sf_dir):
     sentences = _sentences(spark, sf_dir)
     counts = vo.vocabulary(sentences.select(F.explode("tokens").alias("token")))
-    vectors = cut_lineage(em.word2vec(sentences, size=EMBED_SIZE, window=5))  # words' and n-grams' means read it
-    return _rounded_vectors(em.subword(vectors, counts))
+    vectors = cut_lineage(em.projection(sentences, size=EMBED_SIZE, window=5))  # words' and n-grams' means read it
+    return _rounded_vectors(em.projection_subword(vectors, counts))
+
+
+@register("knn_words", None)
+def q_knn_words(spark, sf_dir):
+    """G1 over all words of the corpus (thousands): the 3 nearest by pivot cells. SQL would compare all pairs; see the tests."""
+    vectors = cut_lineage(em.projection(_sentences(spark, sf_dir), size=EMBED_SIZE, window=5))
+    near = similarity_join(vectors, vectors, left_id="word", right_id="word", k=3, exclude_same_id=True)
+    return near.select("src", "dst", F.round("score", 6).alias("distance"), "rank")
 
 
 @register("embed_glove", None)
 def q_embed_glove(spark, sf_dir):
-    toks = vo.simple_tokens(fx.table(spark, sf_dir, "documents"))
-    cooc = vo.cooccurrence(toks, vo.vocabulary(toks), window=5)
-    return em.glove(cooc, size=16, rounds=2)
+    """E3 at the reference's size, window and iterations."""
+    return em.train_embeddings("glove", _sentences(spark, sf_dir))
 
 
 @register(
     "embed_text_roundtrip",
     o.with_ctes(
         [("vec_fx", o.VEC_FX), ("nv", o.normalized())],
-        "select word, list_transform(vector, lambda x: round(x, 6)) as vector from nv",
+        f"select word, {ROUNDED_SQL} from nv",
     ),
 )
 def q_embed_text_roundtrip(spark, sf_dir):
@@ -129,7 +147,7 @@ def q_embed_text_roundtrip(spark, sf_dir):
     path = _scratch(spark, "w2v")
     sio.write_word2vec_text(unit, path)
     back = sio.read_word2vec_text(spark, path)
-    return back.select(F.col("word").cast("long").alias("word"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return _rounded_vectors(back.select(F.col("word").cast("long").alias("word"), "vector"))
 
 
 @register(

@@ -32,7 +32,8 @@ def _norm(v):
             return "nan"
         return round(v, 6)
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        # as strict as a hash of the values: a negative zero in an array isn't zero
+        return tuple("-0.0" if isinstance(x, float) and x == 0 and math.copysign(1, x) < 0 else _norm(x) for x in v)
     if hasattr(v, "asDict"):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
