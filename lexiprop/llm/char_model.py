@@ -36,8 +36,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: Costs of the noisy channel (negative logarithms of guessed rates).
 COST_LOOKS_LIKE, COST_DROPPED, COST_ANY, COST_SINGLE, COST_NEW_WORD = 1.0, 2.0, 4.0, 1.5, 0.5
-#: ... of a look-alike sign at the start or end of a word that is plain punctuation.
-COST_PUNCTUATION = 1.0
+#: ... of a look-alike sign at the start or end of a word that is plain punctuation; of a sign that ends a word.
+COST_PUNCTUATION, COST_BREAK = 1.0, 1.0
 
 
 def _byte_symbols() -> np.ndarray:
@@ -140,46 +140,55 @@ def options(char: str, run: int) -> list[tuple[str, float]]:
 
 
 @lru_cache(maxsize=1 << 14)
-def _choices(char: str, run: int, edge: bool, spaced: bool) -> list[tuple[str, float, tuple[int, ...]]]:
+def _choices(char: str, run: int, edge: bool, spaced: bool, breaks: bool) -> list[tuple[str, float, tuple[int, ...]]]:
     """The options of a run with their symbols."""
     found = options(char, run)
     if edge and char in LOOKS_LIKE:
         found = [*found, ("", COST_PUNCTUATION)]
+    if breaks and not edge and not char.isalnum():
+        found = [*found, (" ", COST_BREAK)]
     if spaced:
         found = found + [(" " + x, c + COST_NEW_WORD) for x, c in found if x]
     return [(x, c, tuple(map(_symbol, x))) for x, c in found]
 
 
-def _lattice(written: str, spaced: bool, edges: bool) -> Iterator[list[tuple[str, float, tuple[int, ...]]]]:
+def _lattice(written: str, spaced: bool, edges: bool, breaks: bool = False) -> Iterator[list[tuple[str, float, tuple[int, ...]]]]:
     """The choices of each run of equal characters; of more than two of a kind the number doesn't matter."""
     runs = [(char, min(sum(1 for _ in group), 3)) for char, group in groupby(written)]
     inner = [i for i, (char, _) in enumerate(runs) if char.isalnum()] if edges else []
     for i, (char, run) in enumerate(runs):
-        yield _choices(char, run, bool(inner) and not inner[0] <= i <= inner[-1], spaced)
+        yield _choices(char, run, bool(inner) and not inner[0] <= i <= inner[-1], spaced, breaks)
 
 
-def may_begin(written: str, beginnings: set[str], length: int, edges: bool = False) -> bool:
+def may_begin(written: str, beginnings: set[str], length: int, edges: bool = False, breaks: bool = False) -> bool:
     """False only if no restored text of a word can be one of, or start with one of, the texts whose first
-    0 to ``length`` letters are ``beginnings``."""
+    0 to ``length`` letters are ``beginnings``. With ``breaks`` a word may begin behind any sign."""
     found = {""}
-    for choices in _lattice(written, False, edges):
-        found = {t for t in {(p + x)[:length] for p in found for x, _, _ in choices} if t in beginnings}
-        if not found or any(len(t) == length for t in found):
+    for choices in _lattice(written, False, edges, breaks):
+        after = {(p + x)[:length] for p in found for x, _, _ in choices if x != " "}
+        ended = any(x == " " for x, _, _ in choices)
+        if ended and any(p and p in beginnings and p + " " in beginnings for p in found):
+            return True  # a whole wanted word
+        found = {t for t in after if t in beginnings} | ({""} if ended else set())
+        if any(len(t) == length for t in found):
+            return True
+        if not found and not breaks:
             break
     return bool(found)
 
 
-def decode(written: str, model: np.ndarray, spaced: bool = False, edges: bool = False) -> str:
+def decode(written: str, model: np.ndarray, spaced: bool = False, edges: bool = False, breaks: bool = False) -> str:
     """The likeliest restored text of an obfuscated word: Viterbi over the lattice of what each
     run of characters may stand for. The state is the last three symbols.
 
     ``spaced``: the characters stood apart, so a new word may begin before any of them.
     ``edges``: signs before the first and behind the last letter or digit may be plain punctuation.
+    ``breaks``: a sign inside may end a word.
     """
     costs = memoryview(np.ascontiguousarray(model, np.float64).reshape(-1))  # plain floats, which are faster one by one
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     keep = SYMBOLS**2
-    for choices in _lattice(written, spaced, edges):
+    for choices in _lattice(written, spaced, edges, breaks):
         after: dict[int, tuple[float, str]] = {}
         for state, (cost, text) in states.items():
             for add, extra, symbols in choices:

@@ -4,7 +4,8 @@
 2. Words that may be tampered with (a character that looks like another letter, digits or signs
    among letters, a repeated letter, single letters standing apart) become lattices of what each
    character may stand for; Viterbi decoding picks the likeliest text, in which a sign at either
-   end may also be plain punctuation. Words are kept as written too; numbers stay numbers.
+   end may also be plain punctuation, and a sign inside may end a word, so that words joined by
+   signs are restored one by one. Words are kept as written too; numbers stay numbers.
 3. From labelled rows outside the held-out fold, words and word stems (first letters) that
    mark toxic texts are found by their log-likelihood ratio and weighed by an L1 logistic
    regression; a mark that it keeps and that is sure by itself weighs at least its own log odds.
@@ -18,6 +19,7 @@ empty table gives no rows; other columns are never read for a score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiprop.llm import char_model
-from lexiprop.llm.common import column, release_memory, stored, texts_of
+from lexiprop.llm.common import column, free_name, release_memory, stored, texts_of
 from lexiprop.llm.lasso import fit_lasso
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -45,8 +47,8 @@ MOST_CLEAN = 0.01
 PENALTY = 1e-4
 #: Lengths of the stems of longer words; a stem ends in STEM.
 STEMS, STEM = (4, 5, 6), "~"
-#: Of words with more runs of equal characters the first so many are restored, for their stems: no
-#: vocabulary word is that long.
+#: Chunks with more runs of equal characters are restored in overlapping windows of so many, which begin
+#: where a word may; of a single longer word the first so many give its stems (no vocabulary word is that long).
 LONGEST_WORD = 40
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -54,7 +56,8 @@ _SIGNS = re.escape("".join(c for c in char_model.LOOKS_LIKE if not c.isalnum()))
 _HEAD, _TAIL = re.compile(rf"^[^\w{_SIGNS}]+"), re.compile(rf"[^\w{_SIGNS}]+\Z")
 _ENDING = re.compile(r"[^\w]+\Z")
 _SUSPECT = re.compile(r"([^\W\d_])\1|[%s]" % re.escape("".join(char_model.LOOKS_LIKE)))
-_START = re.compile(r"(?:(.)\1*+){1,%d}" % LONGEST_WORD, re.S)
+_PARTS = re.compile(r"[\W_]+")
+_RUN = re.compile(r"(.)\1*+", re.S)
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -82,6 +85,25 @@ def marks_of(words: list[str]) -> list[str]:
     return words + [w[:n] + STEM for w in words for n in STEMS if len(w) > n]
 
 
+def windows(core: str) -> Iterator[str]:
+    """The chunk, or overlapping windows of LONGEST_WORD runs that begin at its start or behind a sign."""
+    runs = list(_RUN.finditer(core))
+    if len(runs) <= LONGEST_WORD:
+        yield core
+        return
+    signs = [i for i, r in enumerate(runs) if not r[1].isalnum()]
+    at = 0
+    while at < len(runs):
+        end = min(at + LONGEST_WORD, len(runs))
+        yield core[runs[at].start() : runs[end - 1].end()]
+        # the next window starts behind the last sign of the first half, else behind the next sign
+        half = bisect_right(signs, at + LONGEST_WORD // 2 - 1)
+        later = bisect_right(signs, at)
+        if end == len(runs) or later == len(signs):
+            return
+        at = signs[half - 1 if half > later else later] + 1
+
+
 class Reader:
     """Words and stems of a text, written and restored. Distinct chunks are decoded once; the memory of
     them is emptied when ``room`` is used up."""
@@ -90,6 +112,8 @@ class Reader:
         self.model, self.wanted, self.room, self.known = model, wanted, room, {}
         self.heads = {m[: STEMS[0]] for m in wanted or () if m.endswith(STEM)}
         self.beginnings = {m.rstrip(STEM)[:n] for m in wanted or () for n in range(STEMS[0] + 1)}
+        # short words are whole where a space follows
+        self.beginnings |= {m + " " for m in wanted or () if len(m) < STEMS[0] and not m.endswith(STEM)}
 
     def words_of(self, chunk: str) -> tuple:
         """Of a chunk between spaces: its marks, or the numbers of the wanted ones; True first if it is one character."""
@@ -102,13 +126,25 @@ class Reader:
             plain, core = bare(low), _TAIL.sub("", _HEAD.sub("", low))
             found = _WORDS.findall(low)
         if tampered(core):
-            core = _START.match(core)[0]
-            # words that can't become a wanted one need no decoding
-            if self.wanted is None or char_model.may_begin(core, self.beginnings, STEMS[0], edges=True):
-                found += char_model.decode(core, self.model, edges=True).split()
+            found += self.restored(core)
         single = len(plain) == 1 or len(low) == 1 and low in char_model.LOOKS_LIKE
         return (single, *self.marks(found))
 
+    def restored(self, core: str) -> list[str]:
+        """The words of an obfuscated chunk: as one word, with signs inside that may also end a word, and each
+        part between signs by itself."""
+        found = []
+        parts = [p for p in _PARTS.split(core) if tampered(p)]
+        for whole in dict.fromkeys([core, *parts]):
+            for part in windows(whole):
+                for breaks in (False, True) if _PARTS.search(part) else (False,):
+                    # words that can't become a wanted one need no decoding
+                    if self.wanted is None or char_model.may_begin(part, self.beginnings, STEMS[0], edges=True, breaks=breaks):
+                        words = char_model.decode(part, self.model, edges=True, breaks=breaks).split()
+                        # the last word of a window may go on in the next one
+                        found += words if len(words) < 2 or whole.endswith(part) else words[:-1]
+        return found
+
     def marks(self, words: list[str]) -> list:
         if self.wanted is None:
             return marks_of(words)
@@ -260,4 +296,5 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns."""
-    return model.with_scores(docs, "__score").filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return model.with_scores(docs, score).filter(F.col(score) < THRESHOLD).drop(score)

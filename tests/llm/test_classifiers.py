@@ -76,6 +76,23 @@ def test_reader_restores_closing_signs_long_repeats_and_letters_of_other_alphabe
     assert r.words("great! 2024 (12) $100 +49") == {"great", "grea~"}  # plain punctuation and numbers
 
 
+def test_reader_restores_words_joined_by_signs():
+    words = "hello there my friend and all of the others you so word idiot loser scum well known".split()
+    r = tc.Reader(cm.log_model(cm.count_ngrams([" ".join(words)] * 50)))
+    joined = ("so-1d10t", "word,1d10t", "hello/1d10t", "word,1d!ot", "1d10t,word", "hello_there_my_friend_and_all_of_the_others_you_1d10t")
+    for written in joined + ("1d10t_" + "hello_there_my_friend_" * 20, "hello_there_my_friend_" * 20 + "1d10t", "well/" * 30 + "(1d10t)"):
+        assert "idiot" in r.words(written), written
+    for written in ("well-known", "hello_there", "so,word", "and/all"):
+        assert r.words(written) <= {*tc.marks_of(["well", "known", "wellknown", "hello", "there", "hellothere", "so", "word", "soword", "and", "all", "andall"])}, written
+
+
+def test_windows_cover_every_word():
+    core = "_".join(f"{chr(97 + i % 26)}{i}xyz" for i in range(200))
+    parts = list(tc.windows(core))
+    assert all(any(w in p.split("_") for p in parts) for w in core.split("_"))
+    assert all(len(tc._RUN.findall(p)) <= tc.LONGEST_WORD for p in parts) and list(tc.windows("short-one")) == ["short-one"]
+
+
 def test_words_left_undecoded_hold_no_mark():
     rng = random.Random(3)
     model = cm.log_model(cm.count_ngrams(["idiot loser scum ass of the and"] * 50))
