@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import column, join_groups, stored, word_count
+from lexiprop.llm.common import column, join_groups, row_hash, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
@@ -160,17 +160,19 @@ def mix(
     )
 
 
-def row_hash(docs: DataFrame):
-    """Hash over all columns, which tells apart rows that share a doc_id."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    share = mix(docs, **options).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__copies"))
-    share = share.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "__copies")
-    rows = docs.withColumn("__doc", column(docs, "doc_id", "long")).withColumn("__row", row_hash(docs))
-    same = Window.partitionBy("__doc", "__row").orderBy("__row")
-    first = rows.withColumn("__at", F.row_number().over(same)).filter("__at = 1")
-    joined = first.join(share, first["__doc"].eqNullSafe(share["__id"]) & (first["__row"] == share["__hash"]))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Texts are joined once with a narrow table of copies. Of rows equal in all columns each gives an even part of
+    their copies and one of them the rest.
+    """
+    same = mix(docs, **options).groupBy("doc_id", "row_hash")
+    share = same.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("members")).filter("copies > 0")
+    name = lambda doc_id, h: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), h.cast("string"))
+    key = name(column(docs, "doc_id", "long"), row_hash(docs))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.join(share.select(name(F.col("doc_id"), F.col("row_hash")).alias("key"), "copies", "members"), "key")
+    even = found.select("row", F.floor(F.col("copies") / F.col("members")).alias("n"))
+    uneven = found.filter("copies % members > 0").groupBy("key").agg(F.first("row").alias("row"), F.max(F.expr("copies % members")).alias("n"))
+    taken = even.unionByName(uneven.select("row", "n")).filter("n > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, n)")).alias("copy")).select("row.*")

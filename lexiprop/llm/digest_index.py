@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import SPACE_RUN, column, join_groups, shared_path, stored
+from lexiprop.llm.common import SPACE_RUN, column, join_groups, row_hash, shared_path, stored
 
 DEFAULT_BUCKETS = 64
 
@@ -65,18 +65,20 @@ def dedup_batch(docs: DataFrame, index: DigestIndex) -> DataFrame:
     ``group_size`` counts the equal texts of the batch. ``keep_id`` is the row that stays:
     that of the index where an earlier batch had the text, else the smallest doc_id.
     """
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), text_digest(column(docs, "text", "string")).alias("digest"))
-    # one number per copy of a row, so that rows equal in doc_id and text are told apart
-    copies = Window.partitionBy("digest", "doc_id").orderBy("digest")
-    rows = stored(rows.withColumn("copy", F.row_number().over(copies)), "digests")
-    groups = stored(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups"
+    rows = docs.select(
+        column(docs, "doc_id", "long").alias("doc_id"),
+        text_digest(column(docs, "text", "string")).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),  # tells apart rows equal in doc_id and text
     )
+    rows = stored(rows, "digests")
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    groups = rows.groupBy("digest").agg(smallest.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), "group_size"), "digest-groups")
     new = index.anti_join(groups).select("digest", F.col("first_id").alias("keep_id"))
     index.append(stored(new, "digests-new"))  # stored first: a table can't be read and added to in one job
-    entries = index.read().hint("merge").join(groups.select("digest", "group_size"), "digest")
+    entries = index.read().hint("merge").join(groups.select("digest", "group_size", "first_row"), "digest")
     out = join_groups(rows, entries, "digest", "group_size", rows.count())
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("first_row"))
     return out.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), stays.alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -88,10 +90,16 @@ def new_index(spark: SparkSession, buckets: int = DEFAULT_BUCKETS) -> DigestInde
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup_batch(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    copies = Window.partitionBy("__digest", "__doc").orderBy("__digest")
-    numbered = docs.withColumn("__doc", column(docs, "doc_id", "long")).withColumn("__digest", text_digest(column(docs, "text", "string")))
-    first = numbered.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1")
-    same = (first["__digest"] == kept["__digest"]) & first["__doc"].eqNullSafe(kept["__id"])
-    return first.join(kept, same, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Texts are joined once with a narrow table of what stays. Of rows equal in doc_id and text the one with
+    the smallest hash of all columns stays.
+    """
+    same = dedup_batch(docs, index).groupBy("doc_id", F.col("text_sha256").alias("digest"))
+    stays = same.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("members")).filter("kept")
+    name = lambda digest, doc_id: F.concat(digest, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    key = name(text_digest(column(docs, "text", "string")), column(docs, "doc_id", "long"))
+    rows = docs.select(key.alias("key"), row_hash(docs).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.join(stays.select(name(F.col("digest"), F.col("doc_id")).alias("key"), "members"), "key")
+    several = found.filter("members > 1").groupBy("key").agg(F.min_by("row", "hash").alias("row"))
+    return found.filter("members = 1").select("row").unionByName(several.select("row")).select("row.*")
