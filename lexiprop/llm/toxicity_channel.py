@@ -134,6 +134,10 @@ class Reader:
         """The words of an obfuscated chunk: as one word, with signs inside that may also end a word, and each
         part between signs by itself."""
         found = []
+        signs = bool(_PARTS.search(core))
+        # one look that allows all of this; most chunks end here
+        if self.wanted is not None and not char_model.may_begin(core, self.beginnings, STEMS[0], edges=True, breaks=signs):
+            return found
         parts = [p for p in _PARTS.split(core) if tampered(p)]
         for whole in dict.fromkeys([core, *parts]):
             for part in windows(whole):
