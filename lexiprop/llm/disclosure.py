@@ -1,14 +1,19 @@
 """Personal data, and the terms that give it away.
 
 1. Addresses, numbers and cards are found by fixed patterns in every whole text.
-2. A found value is a protected entity. Over all documents, co-occurrence estimates how much
-   a term tells of an entity: ``PMI(entity; term) = log(N * n(entity, term) / (n(entity) * n(term)))``
-   against the entity's own information ``IC = log(N / n(entity))``. The share PMI / IC is 1 where
-   every document with the term holds the entity.
-3. In documents that hold an entity, terms of a share of at least ``generalise_from`` become
-   their shape, and from ``remove_from`` on they go. An estimate needs ``min_contexts`` different
-   texts that hold the entity and the term, so that copies of one text are no evidence. Texts that
-   differ only in case and white space count as copies.
+2. A found value is a protected entity, and so is the group it belongs to: an address's domain,
+   the first two parts of an IP, a card's issuer digits, a phone number without its last four.
+   Over all documents, co-occurrence estimates how much a term tells of an entity:
+   ``PMI(entity; term) = log(N * P(entity | term) / n(entity))`` against the entity's own
+   information ``IC = log(N / n(entity))``. The share PMI / IC is 1 where every document with the
+   term holds the entity. ``P(entity | term)`` enters with its lower confidence bound (Wilson's,
+   ``confidence`` standard deviations) over the different texts that bear it out, so rare terms
+   need better evidence than frequent ones.
+3. In every document, terms of a share of at least ``generalise_from`` become their shape, and
+   from ``remove_from`` on they go, whether the document holds the entity or not: the term alone
+   would tell of it. Copies of one text are no evidence, and a term or entity found in fewer than
+   ``min_contexts`` different texts has none. Texts that differ only in case and white space count
+   as copies.
 
 Defined cases: a null text counts as empty; empty texts have no spans; repeated rows each
 come out (and count as documents, but as one text); rows without a doc_id are searched
@@ -24,18 +29,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiprop.llm.common import column, join_groups, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
-MIN_CONTEXTS, GENERALISE_FROM, REMOVE_FROM = 3, 0.9, 0.97
+MIN_CONTEXTS, GENERALISE_FROM, REMOVE_FROM = 2, 0.9, 0.97
+#: Standard deviations between an estimate and its lower bound.
+CONFIDENCE = 1.0
 #: The least letters of a term.
 TERM_LETTERS = 3
 #: Bits of the filter that keeps words which are no candidate out of the shuffle (a fixed size).
 FILTER_BITS = 1 << 20
+_WORDS_AT_ONCE = 1 << 16
 
 # The possessive forms match what the plain ones do, in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -85,9 +93,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def entity(kind: str, value: str) -> str:
-    """A value's name, the same for its different spellings."""
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else _DIGIT.sub('', value)}"
+def entities_of(kind: str, value: str) -> tuple[str, str]:
+    """Names of a value, the same for its different spellings, and of the group it belongs to."""
+    if kind in ("email", "ip"):
+        whole = value.lower()
+        group = whole.rpartition("@")[2] if kind == "email" else ".".join(whole.split(".")[:2])
+    else:
+        whole = _DIGIT.sub("", value)
+        group = whole[:6] if kind == "card" else whole[:-4]
+    return f"{kind}:{whole}", f"{kind} group:{group}"
 
 
 def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
@@ -103,9 +117,9 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
     return out
 
 
-def _context(text: str) -> int:
-    """Digest of the whole text, the same for copies that differ in case and white space."""
-    same = " ".join(text.lower().split())
+def _context(text: str, names: list[str]) -> int:
+    """Digest of the whole text and its entities, the same for copies that differ in case and white space."""
+    same = "\0".join([" ".join(text.lower().split()), *names])
     return int.from_bytes(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
@@ -114,102 +128,137 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, spans, entities)`` for every row: the text only where something was found, and
-    of each entity its name and the digest of the text."""
+    """``(context, text, spans, names)`` of every row in which something was found: the digest of its
+    text, the text, the spans and the entities' names."""
 
     def run(batches):
         for b in batches:
-            spans, entities, texts = [], [], []
-            for text in texts_of(b, 1):
-                text = text or ""
-                found = base_spans(text)
-                names = dict.fromkeys(entity(kind, text[s:e]) for kind, s, e in found)
-                context = _context(text) if found else None
-                spans.append(joined(found))
-                entities.append([{"name": n, "context": context} for n in names])
-                texts.append(text if found else None)
-            kind = pa.list_(pa.struct([("name", pa.string()), ("context", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.string()), pa.array(entities, kind)],
-                ["doc_id", "text", "spans", "entities"],
-            )
+            out: tuple[list, ...] = ([], [], [], [])
+            for text in texts_of(b, 0):
+                found = base_spans(text or "")
+                if not found:
+                    continue
+                names = sorted({n for kind, s, e in found for n in entities_of(kind, text[s:e])})
+                for o, v in zip(out, (_context(text, names), text, joined(found), names)):
+                    o.append(v)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["context", "text", "spans", "names"])
 
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, spans string, entities array<struct<name:string,context:long>>")
+    rows = docs.select(column(docs, "text", "string").alias("text"))
+    return rows.mapInArrow(run, "context long, text string, spans string, names array<string>")
 
 
 def _parse(spans: str) -> list[tuple[str, int, int]]:
     return [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(","))] if spans else []
 
 
+class _Listed:
+    """The terms of a chunk between spaces that a filter of fixed size lets through."""
+
+    def __init__(self, bits: np.ndarray):
+        self.may = np.unpackbits(bits).astype(bool)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def terms(self, text: str | None) -> set[str]:
+        chunks = set((text or "").split())
+        if len(self.known) > 1 << 19:
+            self.known.clear()
+        for c in chunks:
+            if c not in self.known:
+                self.known[c] = tuple(t for t in _TERM.findall(c.lower()) if self.may[zlib.crc32(t.encode("utf-8", "surrogatepass")) % FILTER_BITS])
+        return {t for c in chunks for t in self.known[c]}
+
+
+def _filter_of(terms: DataFrame) -> np.ndarray:
+    """Bits that are set for every ``term``; at most FILTER_BITS numbers reach the driver."""
+    slot = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
+    passes = np.zeros(FILTER_BITS, bool)
+    passes[[r[0] for r in terms.select(slot.cast("int")).distinct().collect()]] = True
+    return np.packbits(passes)
+
+
 def document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(term, n)``: in how many rows of ``docs`` each of the ``candidates`` (``term``) stands.
 
-    A filter of fixed size, made of all candidates, keeps most other words out; tasks count
-    what passes before it is shuffled.
+    A filter made of all candidates keeps most other words out; tasks count what passes before
+    it is shuffled.
     """
-    slot = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
-    passes = np.zeros(FILTER_BITS, bool)
-    passes[[r[0] for r in candidates.select(slot.cast("int")).distinct().collect()]] = True  # at most FILTER_BITS numbers
-    bits = np.packbits(passes)
+    bits = _filter_of(candidates)
 
     def run(batches):
-        may = np.unpackbits(bits).astype(bool)
-        known: dict[str, tuple[str, ...]] = {}
+        listed = _Listed(bits)
         for b in batches:
             counts: Counter = Counter()
             for text in texts_of(b, 0):
-                chunks = set((text or "").split())
-                if len(known) > 1 << 19:
-                    known.clear()
-                for c in chunks:
-                    if c not in known:
-                        known[c] = tuple(t for t in _TERM.findall(c.lower()) if may[zlib.crc32(t.encode()) % FILTER_BITS])
-                counts.update({t for c in chunks for t in known[c]})
+                counts.update(listed.terms(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select(column(docs, "text", "string").alias("text")).mapInArrow(run, "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n")).join(candidates, "term", "left_semi")
 
 
+def share_told(n_both: Column, contexts: Column, n_term: Column, n_entity: Column, n_all: int, confidence: float) -> Column:
+    """What a term tells of an entity, as a share of the entity's information.
+
+    ``n_both`` of the term's ``n_term`` rows hold the entity, in ``contexts`` different texts.
+    """
+    p = F.least(F.lit(1.0), n_both / n_term)
+    n, z2 = contexts / p, float(confidence**2)
+    spread = F.sqrt(p * (1 - p) / n + F.lit(z2) / (4 * n * n))
+    low = (p + F.lit(z2) / (2 * n) - F.lit(float(confidence)) * spread) / (1 + F.lit(z2) / n)
+    content = F.ln(F.lit(float(n_all)) / n_entity)
+    return F.when(content > 0, 1 + F.ln(F.greatest(low, F.lit(1e-300))) / content).otherwise(F.lit(0.0))
+
+
 def disclosing_terms(
     docs: DataFrame,
-    found: DataFrame,
     min_contexts: int = MIN_CONTEXTS,
     generalise_from: float = GENERALISE_FROM,
+    confidence: float = CONFIDENCE,
 ) -> DataFrame:
-    """``(name, term, share)``: the terms that tell at least the share ``generalise_from`` of an entity.
+    """``(name, term, n_term, share)``: the terms that tell at least the share ``generalise_from`` of an entity.
 
-    ``found`` comes from :func:`find_entities`, stored, with a number ``row``.
+    Copies of a text become one row with their number before its words are listed. Words and entities
+    are counted each for itself first; only those that can reach the share are joined by their text.
     """
-    rows_found = found.filter("text is not null").select("row", "text", "spans", "entities")
-    held = rows_found.select("row", F.explode("entities").alias("e")).select("row", "e.name", "e.context")
-    entities = held.groupBy("name").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("context").alias("contexts"))
-    entities = stored(entities.filter(F.col("contexts") >= min_contexts), "entities")
-    n_all = found.count()
-    watched = join_groups(held, entities, "name", "n_entity", n_all).select("row", "name", "context")
+    found = stored(find_entities(docs), "found")
+    n_all = docs.count()
+    texts = found.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("text", "spans", "names")).alias("t"))
+    texts = stored(texts.select("context", "k", "t.*"), "texts")
+    n_texts = texts.count()
 
     def words(batches):
         for b in batches:
-            out: tuple[list, list, list] = [], [], []
-            for text, spans, name, context in zip(*(b.column(i).to_pylist() for i in range(4))):
-                terms = {text[s:e].lower() for s, e in terms_of(text, _parse(spans))}
-                out[0].extend([name] * len(terms))
-                out[1].extend([context] * len(terms))
-                out[2].extend(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["name", "context", "term"])
-
-    beside = watched.join(rows_found.select("row", "text", "spans"), "row").select("text", "spans", "name", "context")
-    beside = beside.mapInArrow(words, "name string, context long, term string")
-    pairs = beside.groupBy("name", "term", "context").agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.groupBy("name", "term").agg(F.sum("k").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-    pairs = stored(pairs.filter(F.col("contexts") >= min_contexts).select("name", "term", "n_both"), "pairs")
+            at: list[int] = []
+            terms: list[str] = []
+            for i, text in enumerate(texts_of(b, 2)):
+                own = {text[s:e].lower() for s, e in terms_of(text, _parse(b.column(3)[i].as_py()))}
+                at.extend([i] * len(own))
+                terms.extend(own)
+                if len(terms) > _WORDS_AT_ONCE or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(terms, pa.string())], ["context", "k", "term"])
+                    at, terms = [], []
+
+    def counted(rows: DataFrame, key: str, rows_name: str) -> DataFrame:
+        sizes = rows.groupBy(key).agg(F.sum("k").alias(rows_name), F.count(F.lit(1)).alias("size"))
+        return stored(sizes.filter(F.col("size") >= min_contexts), key)
+
+    held = texts.select("context", "k", F.explode("names").alias("name"))
+    beside = stored(texts.select("context", "k", "text", "spans").mapInArrow(words, "context long, k long, term string"), "words")
+    entities, terms = counted(held, "name", "n_entity"), counted(beside, "term", "n_found")
+    watched = join_groups(held, entities, "name", "size", n_texts).select("context", "name", "n_entity")
+    known = join_groups(beside, terms, "term", "size", n_texts).select("context", "k", "term", "n_found")
+    pairs = known.join(watched, "context").groupBy("name", "term", "n_entity", "n_found")
+    pairs = pairs.agg(F.sum("k").alias("n_both"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= min_contexts)
+
+    def share(n_term: str) -> Column:
+        return share_told(F.col("n_both"), F.col("contexts"), F.col(n_term), F.col("n_entity"), n_all, confidence)
+
+    # no term stands in fewer rows of the corpus than in those with entities, so what fails here fails below
+    pairs = stored(pairs.filter(share("n_found") >= generalise_from - 1e-9), "pairs")
     counts = document_counts(docs, pairs.select("term").distinct())
-    known = pairs.join(counts.withColumnRenamed("n", "n_term"), "term").join(entities.select("name", "n_entity"), "name")
-    pmi = F.ln(F.lit(float(n_all)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    content = F.ln(F.lit(float(n_all)) / F.col("n_entity"))
-    share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return known.select("name", "term", share.alias("share")).filter(F.col("share") >= generalise_from)
+    told = pairs.join(counts.withColumnRenamed("n", "n_term"), "term")
+    return told.select("name", "term", "n_term", share("n_term").alias("share")).filter(F.col("share") >= generalise_from)
 
 
 def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -225,43 +274,66 @@ def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _read_rows(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``(doc_id, text, spans, hits)`` of every row: its spans, the words that may be ``flagged`` terms,
+    and the text where it has either."""
+    bits = _filter_of(flagged)
+
+    def run(batches):
+        listed = _Listed(bits)
+        for b in batches:
+            texts, spans, hits = [], [], []
+            for text in texts_of(b, 1):
+                found = base_spans(text or "")
+                held = sorted(listed.terms(text))
+                texts.append(text if found or held else None)
+                spans.append(joined(found))
+                hits.append(held)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.string()), pa.array(hits, pa.list_(pa.string()))],
+                ["doc_id", "text", "spans", "hits"],
+            )
+
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text string, spans string, hits array<string>")
+
+
 def find_private(
     docs: DataFrame,
     min_contexts: int = MIN_CONTEXTS,
     generalise_from: float = GENERALISE_FROM,
     remove_from: float = REMOVE_FROM,
+    confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, sanitised)`` for every row.
 
     ``spans`` lists ``kind:start:end`` of the base kinds, then of ``removed`` and ``generalised``
-    terms; ``sanitised`` is null where nothing was found.
+    terms; ``sanitised`` is null where there are no spans.
     """
-    found = stored(find_entities(docs).withColumn("row", F.monotonically_increasing_id()), "found")
-    flagged = disclosing_terms(docs, found, min_contexts, generalise_from)
-    flagged = flagged.select("name", F.struct("term", (F.col("share") >= remove_from).alias("removed")).alias("t"))
-    flagged = stored(flagged.groupBy("name").agg(F.collect_set("t").alias("terms")), "flagged")
-    held = found.filter("text is not null").select("row", F.explode("entities").alias("e")).select("row", F.col("e.name").alias("name"))
-    sizes = held.groupBy("name").agg(F.count(F.lit(1)).alias("n_entity")).join(flagged, "name")
-    of_rows = join_groups(held, sizes, "name", "n_entity", found.count())
-    of_rows = of_rows.groupBy("row").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    told = disclosing_terms(docs, min_contexts, generalise_from, confidence)
+    told = told.groupBy("term").agg((F.max("share") >= remove_from).alias("removed"), F.max("n_term").alias("n_term"))
+    flagged = stored(told, "flagged")
+    read = stored(_read_rows(docs, flagged).withColumn("row", F.monotonically_increasing_id()), "read")
+    hits = read.select("row", F.explode("hits").alias("term"))
+    hits = join_groups(hits, flagged, "term", "n_term", docs.count()).groupBy("row").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
 
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for text, spans, terms in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            for i, text in enumerate(texts_of(b, 1)):
+                spans, terms = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 base = _parse(spans)
                 n = Counter(k for k, _, _ in base)
-                removed: dict[str, bool] = {}
-                for t in terms or ():
-                    removed[t["term"]] = removed.get(t["term"], False) or t["removed"]
+                removed = {t["term"]: t["removed"] for t in terms or ()}
                 extra = [(TERM_KINDS[not removed[w]], s, e) for s, e in terms_of(text, base) if (w := text[s:e].lower()) in removed] if removed else []
                 extra.sort(key=lambda x: (TERM_KINDS.index(x[0]), x[1]))
-                values = [*(n[k] for k in KINDS), hashlib.sha256(spans.encode()).hexdigest(), joined(base + extra), len(extra), sanitise(text, base + extra) if base else None]
+                every = base + extra
+                values = [*(n[k] for k in KINDS), hashlib.sha256(spans.encode()).hexdigest(), joined(every), len(extra), sanitise(text, every) if every else None]
                 for o, v in zip(out, values):
                     o.append(v)
             kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.string()]
             names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms", "sanitised"]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], ["doc_id", *names])
 
-    rows = found.join(of_rows, "row", "left").select("doc_id", "text", "spans", "terms")
+    rows = read.join(hits, "row", "left").select("doc_id", "text", "spans", "terms")
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, sanitised string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiprop.llm import (
     bpe_distinct,
@@ -72,7 +73,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.find_private(documents(spark, sf_dir)).drop("sanitised")
+    found = disclosure.find_private(documents(spark, sf_dir))
+    return found.withColumn("sanitised_sha256", F.sha2("sanitised", 256)).drop("sanitised")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
