@@ -9,11 +9,15 @@
 3. Every fingerprint becomes resident of one leaf in each tree. Where the triangle bound
    lets a partner lie beyond a boundary, the fingerprint nearer to the vantage point is
    also sent across as a visitor; both branches are followed only where the bound allows.
-4. Each leaf compares its residents with its residents and visitors on all 64 bits and
+4. A leaf above ``crowded_rows`` gets trees of its own over the bits its blocks left out, from a
+   bounded sample of its rows, and its rows are routed again, as often as it takes (LEVELS at
+   most). The blocks' reaches hold there as well, since a pair at most ``max_bits`` apart is so on
+   any of the bits.
+5. Each leaf compares its residents with its residents and visitors on all 64 bits and
    returns a spanning set of the links found, never all pairs. Leaves above
    ``cell_rows`` are cut into cells of row and column chunks, so one crowded leaf is
    shared among tasks and stays exact.
-5. Connected components run over the links; copies of a fingerprint share its component.
+6. Connected components run over the links; copies of a fingerprint share its component.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; rows
 without a doc_id get a component but never name it; repeated rows each come out; an empty
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprop.llm.common import column, join_groups, release_memory, stored, texts_of
+from lexiprop.llm.common import column, free_name, join_groups, release_memory, stored, texts_of
 from lexiprop.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -41,6 +45,12 @@ SAMPLE = 16_384
 BLOCKS = 4
 LEAF_ROWS = 512
 CELL_ROWS = 4_096
+#: A leaf with more rows is split again; the rows a leaf's own trees are built from and those routed by one task at once.
+CROWDED_ROWS, LEAF_SAMPLE, CHUNK_ROWS = 2_048, 4_096, 65_536
+#: How often leaves may be split, and the bits a split needs; what stays crowded is cut into cells.
+LEVELS, LEAST_BITS = 4, 16
+#: Rows aimed at by splits of a crowded leaf.
+SPLIT_ROWS = 128
 _ROWS_AT_ONCE = 256
 _HASHES_AT_ONCE = 1 << 18
 
@@ -85,14 +95,16 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_blocks(max_bits: int, blocks: int) -> list[tuple[int, int]]:
-    """``(mask, reach)`` of each block: two values ``max_bits`` apart or less are within reach on
-    one of them. A block with a longer reach is wider, as its tree needs more room to prune."""
+def bit_blocks(max_bits: int, blocks: int, used: int = 0) -> list[tuple[int, int]]:
+    """``(mask, reach)`` of each block of the bits that are not ``used``: two values ``max_bits`` apart
+    or less are within reach on one of them. A block with a longer reach is wider, as its tree
+    needs more room to prune."""
+    free = [i for i in range(64) if not used >> i & 1]
     blocks = min(blocks, max_bits + 1)
     whole, more = divmod(max_bits + 1, blocks)
     reaches = [whole - 1 + (i < more) for i in range(blocks)]
-    edges = [round(64 * x / sum(r + 1.5 for r in reaches)) for x in accumulate((r + 1.5 for r in reaches), initial=0)]
-    return [(((1 << (hi - lo)) - 1) << lo, r) for lo, hi, r in zip(edges, edges[1:], reaches)]
+    edges = [round(len(free) * x / sum(r + 1.5 for r in reaches)) for x in accumulate((r + 1.5 for r in reaches), initial=0)]
+    return [(sum(1 << i for i in free[lo:hi]), r) for lo, hi, r in zip(edges, edges[1:], reaches)]
 
 
 def build_tree(sample: np.ndarray, mask: int, leaf_sample: int, seed: int = SEED) -> list[tuple]:
@@ -129,10 +141,11 @@ def build_tree(sample: np.ndarray, mask: int, leaf_sample: int, seed: int = SEED
     return nodes
 
 
-def route(fps: np.ndarray, nodes: list[tuple], mask: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(index, leaf, is_resident)`` of every place where a fingerprint belongs."""
+def route(fps: np.ndarray, nodes: list[tuple], mask: int, reach: int, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(index, leaf, is_resident)`` of every place where a fingerprint belongs; those that don't
+    live here (``lives``) stay visitors."""
     index, leaf, resident = [], [], []
-    work = [(0 if nodes else -1, np.arange(len(fps)), np.ones(len(fps), bool))]
+    work = [(0 if nodes else -1, np.arange(len(fps)), np.ones(len(fps), bool) if lives is None else lives)]
     while work:
         node, own, lives = work.pop()
         if not len(own):
@@ -186,6 +199,78 @@ def links_within(rows: np.ndarray, cols: np.ndarray, max_bits: int) -> tuple[np.
     return both[a], both[b]
 
 
+def leaf_trees(drawn: np.ndarray, rows: int, used: int, max_bits: int, aim: int = SPLIT_ROWS) -> list[tuple[list[tuple], int, int]]:
+    """``(nodes, mask, reach)`` of the trees of a crowded leaf of ``rows`` rows over the bits not ``used``.
+
+    There are enough blocks for every reach to be zero: no row visits a second leaf of a tree. None
+    are returned where they would not halve the comparisons, as for one crowd of near copies.
+    """
+    least = max(4, int(aim * len(drawn) / max(rows, 1)))
+    trees, work = [], 0.0
+    for i, (mask, reach) in enumerate(bit_blocks(max_bits, max_bits + 1, used)):
+        nodes = build_tree(drawn, mask, least, SEED + i)
+        _, leaf, _ = route(drawn, nodes, mask, reach)
+        work += float(np.square(np.bincount(leaf).astype(float)).sum())
+        trees.append((nodes, mask, reach))
+    return trees if 2 * work <= float(len(drawn)) ** 2 else []
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+PLACED = "path string, used long, resident boolean, fp long"
+_NODES = "path string, block int, mask long, reach int, vantage array<long>, radius array<int>, inner array<int>, outer array<int>"
+
+
+def split_crowded(placed: DataFrame, max_bits: int, crowded_rows: int, level: int) -> tuple[DataFrame, DataFrame] | None:
+    """The rows ``PLACED`` of leaves that are small enough, and those of the others in new, smaller
+    leaves; None if no leaf is crowded."""
+    spare = 64 - F.bit_count("used") >= max(LEAST_BITS, 2 * (max_bits + 1))
+    sizes = placed.groupBy("path", "used").agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(sizes.filter((F.col("n") > crowded_rows) & spare), "crowded")
+    if crowded.isEmpty():
+        return None
+    total = placed.count()
+    rows = join_groups(placed, crowded.select("path", "n"), "path", "n", total)
+    # a share of the rows that follows from the leaf's size, so a sample is bounded whatever the leaf
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(level), "fp"), F.col("n")) < LEAF_SAMPLE)
+
+    aim = max(1, min(SPLIT_ROWS, crowded_rows // 4))
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        fps = np.unique(own["fp"].to_numpy()).view(np.uint64)
+        out = []
+        for i, (nodes, mask, reach) in enumerate(leaf_trees(fps, int(own["n"].iloc[0]), int(own["used"].iloc[0]) & (1 << 64) - 1, max_bits, aim)):
+            vantage, radius, inner, outer = ([x[j] for x in nodes] for j in range(4))
+            out.append((own["path"].iloc[0], i, _signed(mask), reach, [_signed(v) for v in vantage], radius, inner, outer))
+        return pd.DataFrame(out, columns=["path", "block", "mask", "reach", "vantage", "radius", "inner", "outer"])
+
+    trees = stored(drawn.groupBy("path").applyInPandas(build, _NODES), "leaf_trees")
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK_ROWS)).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
+    numbers = crowded.select(F.col("path").alias("leaf"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    every = trees.join(numbers, F.col("path") == F.col("leaf")).drop("leaf")
+
+    def place(own: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+        fps, lives = own["fp"].to_numpy().view(np.uint64), own["resident"].to_numpy()
+        parts = [pd.DataFrame({"path": [], "used": [], "resident": [], "fp": []}).astype({"used": "int64", "resident": "bool", "fp": "int64"})]
+        if len(own) and not len(grown):  # a split does not pay: the leaf stays as it is, and none is tried again
+            parts.append(own[["path", "used", "resident", "fp"]].assign(used=-1))
+        for t in grown.itertuples() if len(own) else ():
+            mask = t.mask & (1 << 64) - 1
+            nodes = [(int(v) & (1 << 64) - 1, int(r), int(i), int(o)) for v, r, i, o in zip(t.vantage, t.radius, t.inner, t.outer)]
+            index, leaf, resident = route(fps, nodes, mask, t.reach, lives)
+            used = _signed(int(own["used"].iloc[0]) & (1 << 64) - 1 | mask)
+            path = own["path"].iloc[0]
+            names = np.array([f"{path}/{t.block}.{x}" for x in range(int(leaf.max(initial=0)) + 1)], object)
+            parts.append(pd.DataFrame({"path": names[leaf], "used": used, "resident": resident, "fp": fps[index].view(np.int64)}))
+        return pd.concat(parts)
+
+    finer = rows.groupBy("path", "chunk").cogroup(every.groupBy("path", "chunk")).applyInPandas(place, PLACED)
+    return placed.join(crowded.select("path"), "path", "left_anti"), stored(finer, "leaves")
+
+
 def near_links(
     distinct: DataFrame,
     n: int,
@@ -194,6 +279,7 @@ def near_links(
     sample: int = SAMPLE,
     leaf_rows: int = LEAF_ROWS,
     cell_rows: int = CELL_ROWS,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Links ``(a, b)`` that join every two of the ``n`` distinct fingerprints ``fp`` at most
     ``max_bits`` apart, directly or through others that are."""
@@ -207,26 +293,35 @@ def near_links(
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for k, (nodes, mask, reach) in enumerate(trees):
                 index, leaf, resident = route(fps.view(np.uint64), nodes, mask, reach)
+                names = np.array([f"{k}.{x}" for x in range(int(leaf.max(initial=0)) + 1)], object)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(index), k, np.int32)), pa.array(leaf), pa.array(resident), pa.array(fps[index])],
-                    ["tree", "leaf", "resident", "fp"],
+                    [pa.array(names[leaf], pa.string()), pa.array(np.full(len(index), _signed(mask))), pa.array(resident), pa.array(fps[index])],
+                    ["path", "used", "resident", "fp"],
                 )
 
-    placed = stored(distinct.select("fp").mapInArrow(place, "tree int, leaf int, resident boolean, fp long"), "leaves")
-    # one row a leaf, and there are fewer leaves than sampled fingerprints
-    chunks = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("chunks"))
-    cut = placed.join(F.broadcast(chunks), ["tree", "leaf"])
+    ready, placed = [], stored(distinct.select("fp").mapInArrow(place, PLACED), "leaves")
+    for level in range(LEVELS):
+        parts = split_crowded(placed, max_bits, crowded_rows, level)
+        if parts is None:
+            break
+        ready.append(parts[0])
+        placed = parts[1]
+    for part in ready:
+        placed = placed.union(part.select(*placed.columns))
+    # stored, so that its size decides how it is joined
+    chunks = stored(placed.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("chunks")), "chunks")
+    cut = placed.join(chunks, "path")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    as_column = cut.select("tree", "leaf", F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("row"), "fp")
-    as_row = cut.filter("resident").select("tree", "leaf", own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("row"), "fp")
+    as_column = cut.select("path", F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("row"), "fp")
+    as_row = cut.filter("resident").select("path", own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("row"), "fp")
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         fps, row = cell["fp"].to_numpy().view(np.uint64), cell["row"].to_numpy()
         a, b = links_within(fps[row], fps[~row], max_bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    cells = as_column.union(as_row).groupBy("tree", "leaf", "i", "j")
+    cells = as_column.union(as_row).groupBy("path", "i", "j")
     return cells.applyInPandas(compare, "a long, b long")
 
 
@@ -250,6 +345,7 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
     Rows without a doc_id stay only where their component has no other.
     """
     found = near_duplicates(docs, shingle_words, max_bits)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    same = column(docs, "doc_id", "long").eqNullSafe(stays["__id"])
+    name = free_name(docs, "__id")
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    same = column(docs, "doc_id", "long").eqNullSafe(F.col(name))
     return docs.join(stays, same, "left_semi").select(*docs.columns)

@@ -74,8 +74,8 @@ def test_blocks_reach_every_pair(max_bits, blocks):
     assert sum(m for m, _ in parts) == 2**64 - 1 and sum(r + 1 for _, r in parts) == max_bits + 1
 
 
-@pytest.mark.parametrize("cell_rows", [16, 4096])
-def test_trees_lose_no_link(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows,crowded_rows", [(16, 4096), (4096, 4096), (64, 24)])
+def test_trees_lose_no_link(spark, cell_rows, crowded_rows):
     """Crowded and random fingerprints: the links join what a comparison of all pairs joins."""
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -88,7 +88,7 @@ def test_trees_lose_no_link(spark, cell_rows):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    links = sv.near_links(df, len(fps), sample=200, leaf_rows=40, cell_rows=cell_rows)
+    links = sv.near_links(df, len(fps), sample=200, leaf_rows=40, cell_rows=cell_rows, crowded_rows=crowded_rows)
     root = {r.node: r.root for r in components(links).collect()}
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     ids = list(range(len(fps)))
@@ -103,6 +103,53 @@ def test_trees_lose_no_link(spark, cell_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("used", [0, (1 << 23) - 1, ((1 << 41) - 1) << 9, 1 << 63])
+def test_blocks_of_the_bits_left(used):
+    parts = sv.bit_blocks(4, 5, used)
+    assert sum(m for m, _ in parts) == (2**64 - 1) ^ used and all(r == 0 for _, r in parts)
+
+
+def test_a_crowd_of_near_copies_is_not_split():
+    rng = np.random.default_rng(8)
+    crowd = np.full(3_000, 12345, np.uint64)
+    for _ in range(4):
+        crowd ^= np.uint64(1) << rng.integers(0, 64, len(crowd), dtype=np.uint64)
+    assert sv.leaf_trees(np.unique(crowd), 3_000, 0, 4) == []
+    assert len(sv.leaf_trees(rng.integers(0, 1 << 63, 3_000, dtype=np.uint64), 3_000, 0, 4)) == 5
+
+
+def _work(n, seed=1):
+    """Comparisons and rows per fingerprint among ``n`` random ones, from leaves drawn of each tree."""
+    rng = np.random.default_rng(seed)
+    fps = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, n, dtype=np.uint64)
+    drawn = fps[: sv.SAMPLE]
+    compared = rows = 0.0
+    for i, (mask, reach) in enumerate(sv.bit_blocks(sv.MAX_BITS, sv.BLOCKS)):
+        nodes = sv.build_tree(drawn, mask, max(4, int(sv.LEAF_ROWS * len(drawn) / n)), sv.SEED + i)
+        some = rng.integers(0, n, 20_000)
+        _, leaf, resident = sv.route(fps[some], nodes, mask, reach)
+        rows += len(leaf) / len(some)
+        index, of, lives = sv.route(fps, nodes, mask, reach)
+        for x in rng.choice(np.unique(leaf), 6, replace=False):
+            at = of == x
+            own, here = fps[index[at]], lives[at]
+            weight = len(np.unique(leaf)) / 6 / n
+            if len(own) <= sv.CROWDED_ROWS:
+                compared += weight * here.sum() * len(own)
+                continue
+            for sub, m, r in sv.leaf_trees(own[rng.permutation(len(own))[: sv.LEAF_SAMPLE]], len(own), mask, sv.MAX_BITS):
+                k, to, res = sv.route(own, sub, m, r, here)
+                compared += weight * float(np.bincount(to, res) @ np.bincount(to))
+                rows += weight * len(k)
+    return compared, rows
+
+
+def test_work_stays_flat():
+    few, many = _work(250_000), _work(1_000_000)
+    assert many[0] < 2 * few[0], (few, many)
+    assert many[1] < 90, (few, many)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, 1000 + i) for i in range(300)]
