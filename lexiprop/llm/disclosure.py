@@ -41,8 +41,9 @@ MIN_CONTEXTS, GENERALISE_FROM, REMOVE_FROM = 2, 0.9, 0.97
 CONFIDENCE = 1.0
 #: The least letters of a term.
 TERM_LETTERS = 3
-#: Bits of the filter that keeps words which are no candidate out of the shuffle (a fixed size).
-FILTER_BITS = 1 << 20
+#: Bits for each of a word's two marks in the filter that keeps words which are no candidate out of the
+#: shuffle (a fixed size, 4 MB in all).
+FILTER_BITS = 1 << 24
 _WORDS_AT_ONCE = 1 << 16
 
 # The possessive forms match what the plain ones do, in linear time.
@@ -156,25 +157,34 @@ class _Listed:
     """The terms of a chunk between spaces that a filter of fixed size lets through."""
 
     def __init__(self, bits: np.ndarray):
-        self.may = np.unpackbits(bits).astype(bool)
+        self.bits = bits
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def _may(self, term: str) -> bool:
+        code = zlib.crc32(term.encode("utf-8", "surrogatepass"))
+        return all(self.bits[i >> 3] >> (i & 7) & 1 for i in (code % FILTER_BITS, FILTER_BITS + (code >> 8)))
+
     def terms(self, text: str | None) -> set[str]:
         chunks = set((text or "").split())
         if len(self.known) > 1 << 19:
             self.known.clear()
         for c in chunks:
             if c not in self.known:
-                self.known[c] = tuple(t for t in _TERM.findall(c.lower()) if self.may[zlib.crc32(t.encode("utf-8", "surrogatepass")) % FILTER_BITS])
+                self.known[c] = tuple(t for t in _TERM.findall(c.lower()) if self._may(t))
         return {t for c in chunks for t in self.known[c]}
 
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
-    """Bits that are set for every ``term``; at most FILTER_BITS numbers reach the driver."""
-    slot = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
-    passes = np.zeros(FILTER_BITS, bool)
-    passes[[r[0] for r in terms.select(slot.cast("int")).distinct().collect()]] = True
-    return np.packbits(passes)
+    """Bits of which two are set for every ``term``; Spark gathers them in pieces of 4 KB."""
+    code = F.crc32(F.col("term").cast("binary"))
+    # positions count from 1
+    marks = F.array(F.pmod(code, F.lit(FILTER_BITS)) + 1, F.shiftright(code, 8) + (FILTER_BITS + 1))
+    at = terms.select(F.explode(marks).alias("at"))
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(2 * FILTER_BITS // 8, np.uint8)
+    for piece, bits in pieces.collect():  # at most 1,024
+        out[(piece - 1) * 4096 : piece * 4096] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
