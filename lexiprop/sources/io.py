@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiprop.functions.text import doc_id_from_file_name, parse_int_list
+from lexiprop.session import cut_lineage
 
 SKIPPED_FILE = ".DS_Store"  # fixed value: the file name the corpus scan ignores
 SHEET_HEADER_ROWS = 7  # fixed value: rows above the scores in a reviewed sheet
@@ -213,7 +214,11 @@ def read_scored_sheet(spark: SparkSession, path: str | list[str], word_col: int
 
 
 def write_projector(rows: DataFrame, vectors_path: str, labels_path: str, mode: str = "overwrite") -> None:
-    """Vectors as TSV without header, labels (word, label) as TSV with header."""
+    """Vectors as TSV without header, labels (word, label) as TSV with header.
+
+    Both come from one evaluation of ``rows``: evaluated twice, they could lie in other part files or in another order.
+    """
+    rows = cut_lineage(rows)
     rows.select(F.array_join(F.transform("vector", lambda x: x.cast("string")), "\t").alias("value")).write.mode(mode).text(
         vectors_path
     )

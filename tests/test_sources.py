@@ -113,3 +113,23 @@ def test_streaming_cleaning(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.doc_id: r.clean for r in spark.read.parquet(out).collect()}
     assert got == {"1": "ein text", "22": "zweiter muss text"}
+
+
+def test_projector_files_have_the_same_parts(spark, tmp_path):
+    confs = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    was = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        vector = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: (F.col("id") * i).cast("double"))
+        rows = spark.range(600).select(F.col("id").cast("string").alias("word"), F.lit("both").alias("label"), vector.alias("vector"))
+        rows = rows.repartition("word").sortWithinPartitions("word")
+        sio.write_projector(rows, str(tmp_path / "vec"), str(tmp_path / "lab"))
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    parts = lambda name: {p.name[:10]: p.read_text().splitlines() for p in (tmp_path / name).glob("part-*")}
+    vectors, labels = parts("vec"), parts("lab")
+    assert len(vectors) > 1 and vectors.keys() == labels.keys()
+    for part, lines in vectors.items():
+        assert [str(int(float(x.split("\t")[0]))) for x in lines] == [x.split("\t")[0] for x in labels[part][1:]]
