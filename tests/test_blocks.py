@@ -106,3 +106,10 @@ def test_normalising_works_the_norm_out_once(spark):
     assert [r.u for r in df.select(l2_normalize(F.col("v")).alias("u")).collect()] == [[0.6, 0.8], [0.0, 0.0], None, [1.0, None]]
     plan = df.select(l2_normalize(F.col("v")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+@pytest.mark.parametrize("odd", [None, [1.0], [1.0, 2.0, 3.0]])
+def test_null_and_uneven_vectors_are_refused(spark, odd):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, odd), (3, odd), (4, [5.0, 6.0])], "word long, vector array<double>")
+    with pytest.raises(Exception, match="a vector is null|reshape"):
+        si.similarity_join(df, df, left_id="word", right_id="word", k=1).collect()
