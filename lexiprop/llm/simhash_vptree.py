@@ -41,12 +41,14 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 #: Fingerprints that build the trees (smallest seeded hashes first); bounds the driver's and the broadcast's memory.
-SAMPLE = 16_384
+SAMPLE = 65_536
 BLOCKS = 4
 LEAF_ROWS = 512
-CELL_ROWS = 4_096
+CELL_ROWS = 8_192
 #: A leaf with more rows is split again; the rows a leaf's own trees are built from and those routed by one task at once.
-CROWDED_ROWS, LEAF_SAMPLE, CHUNK_ROWS = 2_048, 4_096, 65_536
+CROWDED_ROWS, LEAF_SAMPLE, CHUNK_ROWS = 8_192, 4_096, 65_536
+#: Rows of the cells that one task compares one after another, about.
+BATCH_ROWS = 131_072
 #: How often leaves may be split, and the bits a split needs; what stays crowded is cut into cells.
 LEVELS, LEAST_BITS = 4, 16
 #: Rows aimed at by splits of a crowded leaf.
@@ -309,20 +311,27 @@ def near_links(
     for part in ready:
         placed = placed.union(part.select(*placed.columns))
     # stored, so that its size decides how it is joined
-    chunks = stored(placed.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("chunks")), "chunks")
-    cut = placed.join(chunks, "path")
+    size = F.count(F.lit(1))
+    chunks = stored(placed.groupBy("path").agg(size.alias("n"), F.ceil(size / F.lit(cell_rows)).cast("int").alias("chunks")), "chunks")
+    batches = max(1, -(-(chunks.agg(F.sum(2 * F.col("n") * F.col("chunks"))).first()[0] or 0) // BATCH_ROWS))
+    cut = placed.join(chunks.drop("n"), "path")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     as_column = cut.select("path", F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("row"), "fp")
     as_row = cut.filter("resident").select("path", own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("row"), "fp")
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        fps, row = cell["fp"].to_numpy().view(np.uint64), cell["row"].to_numpy()
-        a, b = links_within(fps[row], fps[~row], max_bits)
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("cell", kind="stable")
+        cell, fps, row = batch["cell"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), batch["row"].to_numpy()
+        ends = np.r_[np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+        found = [links_within(fps[lo:hi][row[lo:hi]], fps[lo:hi][~row[lo:hi]], max_bits) for lo, hi in zip(np.r_[0, ends[:-1]], ends)]
+        a, b = (np.concatenate([x[n] for x in found]) for n in range(2))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    cells = as_column.union(as_row).groupBy("path", "i", "j")
-    return cells.applyInPandas(compare, "a long, b long")
+    # most cells are small, so a task takes many; two cells of one number are compared as one, which finds no wrong link
+    cells = as_column.union(as_row).select(F.xxhash64("path", "i", "j").alias("cell"), "row", "fp")
+    cells = cells.withColumn("batch", F.pmod("cell", F.lit(batches)))
+    return cells.groupBy("batch").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, **limits: int) -> DataFrame:

@@ -220,3 +220,12 @@ def test_kept_documents(spark):
         (r.doc_id or -1, (r.text or "")[:3]) for r in out.collect()
     ) == [(-1, "onl"), (2, "a\tb"), (5, "xxx"), (6, "é"), (7, " "), (8, "")]
     assert out.select(F.count_distinct("doc_id")).first()[0] == 5
+
+
+def test_many_leaves_are_compared_by_one_task(spark):
+    fps = np.random.default_rng(12).integers(0, 1 << 62, 3_000)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    links = sv.near_links(df, len(fps), sample=1_000, leaf_rows=20)
+    groups = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [batch" in groups and "FlatMapGroupsInPandas [path" not in groups
+    assert links.count() == 0
