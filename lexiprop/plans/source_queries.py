@@ -54,8 +54,7 @@ def q_corpus_json_roundtrip(spark, sf_dir):
     """One JSON file for each document."""
     path = _scratch(spark, "corpus")
     docs = fx.table(spark, sf_dir, "documents").select(F.col("text").alias("Volltext"), F.col("lang").alias("Other"))
-    docs.write.option("maxRecordsPerFile", 1).json(path)
-    return sio.read_corpus_json(spark, path).select("text")
+    return sio.read_corpus_json(spark, sio.write_corpus_json(docs, path)).select("text")
 
 
 @register(

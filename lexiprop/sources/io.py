@@ -6,6 +6,12 @@ user of the reference can bring their files in and take results out.
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +34,46 @@ THESAURUS_SCHEMA = T.StructType(
 
 # --- corpus ---------------------------------------------------------------------
 
-def read_corpus_json(spark: SparkSession, folder: str) -> DataFrame:
+def _shared_files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the folder's name there; ``file:/x`` is the same as ``file:///x``."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+def write_corpus_json(docs: DataFrame, folder: str) -> list[str]:
+    """Each row as a JSON document (null columns left out) in a file of its own; returns the folders to read.
+
+    Tasks write the files themselves, each attempt into a new folder below ``folder``: Spark's writer opens,
+    checks and moves every file, which takes far longer than a document. Only folders of attempts that ended
+    are returned, so what a lost task left behind is not read. One row a task reaches the driver.
+    """
+    try:
+        where, name = _shared_files(folder)
+    except pa.ArrowInvalid:  # a store that only Spark reaches
+        docs.write.option("maxRecordsPerFile", 1).json(folder)
+        return [folder]
+    where.create_dir(name)
+
+    def write(batches):
+        store, base = _shared_files(folder)
+        own = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        store.create_dir(f"{base}/{own}")
+        n = 0
+        for batch in batches:
+            for line in batch.column(0):
+                with store.open_output_stream(f"{base}/{own}/{n:09d}.json") as out:
+                    out.write(line.as_buffer())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([own])], ["own"])
+
+    lines = docs.select(F.to_json(F.struct(*docs.columns)).alias("json"))
+    return [f"{folder}/{r.own}" for r in lines.mapInArrow(write, "own string").collect()] or [folder]
+
+
+def read_corpus_json(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """One JSON document per file; ``Volltext`` is the text, the id comes from the file name.
-    A file that is no JSON is an error."""
+    A file that is no JSON is an error. Spark counts a file as 4 MB at least and puts few of them in a
+    partition; of the folders that ``write_corpus_json`` returns, a task takes as many partitions as a writing task's share."""
     raw = (
         spark.read.schema("Volltext string")
         .option("multiLine", True)
@@ -38,6 +81,8 @@ def read_corpus_json(spark: SparkSession, folder: str) -> DataFrame:
         .json(folder)
         .select("Volltext", F.col("_metadata.file_name").alias("file_name"))
     )
+    if not isinstance(folder, str):
+        raw = raw.coalesce(max(len(folder), 4 * spark.sparkContext.defaultParallelism))
     return raw.filter(F.col("file_name") != SKIPPED_FILE).select(
         doc_id_from_file_name(F.col("file_name")).alias("doc_id"), F.col("Volltext").alias("text")
     )

@@ -21,6 +21,19 @@ def _write_corpus(folder):
         fh.write("junk")
 
 
+def test_corpus_json_is_written_and_read_by_few_tasks(spark, tmp_path):
+    texts = ['"quoted" \\ and\nlines', "", None, "muß", "muß"] + [f"text {i}" for i in range(995)]
+    docs = spark.createDataFrame([(t, None) for t in texts], "Volltext string, Other string").repartition(3)
+    folders = sio.write_corpus_json(docs, str(tmp_path / "out"))
+    files = [f for folder in folders for f in os.listdir(folder)]
+    assert len(files) == len(texts) and len(folders) <= 3
+    back = sio.read_corpus_json(spark, folders)
+    assert sorted(str(r.text) for r in back.collect()) == sorted(map(str, texts))
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism  # a few files each before
+    none = sio.write_corpus_json(docs.filter("Volltext = 'no such text'"), str(tmp_path / "none"))
+    assert sio.read_corpus_json(spark, none).count() == 0
+
+
 def test_corpus_json_scan(spark, tmp_path):
     folder = str(tmp_path / "corpus")
     _write_corpus(folder)
