@@ -82,7 +82,11 @@ def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, dot
     out = np.empty(len(i))
     for at in range(0, len(i), _PAIRS_AT_ONCE):
         x, y = a[i[at : at + _PAIRS_AT_ONCE]], b[j[at : at + _PAIRS_AT_ONCE]]
-        out[at : at + len(x)] = np.einsum("ij,ij->i", x, y) if dot else np.sqrt(np.einsum("ij,ij->i", x - y, x - y))
+        if not dot:
+            x -= y
+            y = x
+        score = np.einsum("ij,ij->i", x, y)
+        out[at : at + len(x)] = score if dot else np.sqrt(score)
     return out
 
 
@@ -91,12 +95,17 @@ def _few(hit: np.ndarray, product: _Product) -> bool:
     return product.kind is np.float64 or np.count_nonzero(hit) * 8 <= hit.size
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: float, skipped: Skipped) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(i, j, distance)`` of the pairs at most ``radius`` apart, some at a time."""
+def within(
+    a: np.ndarray, b: np.ndarray, radius: float, skipped: Skipped, once: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, distance)`` of the pairs at most ``radius`` apart, some at a time.
+
+    ``once``: ``a`` and ``b`` are the same rows, and a pair comes from one end only (``i <= j``).
+    """
     product = _Product(a, b, False)
     for start in range(0, len(a), _ROWS):
         stop = min(start + _ROWS, len(a))
-        for lo in range(0, len(b), _COLS):
+        for lo in range(start if once else 0, len(b), _COLS):
             hi = min(lo + _COLS, len(b))
             while True:
                 limit = (radius / product.scale) ** 2 + product.slack(start, stop, lo, hi)
@@ -107,6 +116,8 @@ def within(a: np.ndarray, b: np.ndarray, radius: float, skipped: Skipped) -> Ite
             at = np.flatnonzero(hit)
             i, j = at // (hi - lo) + start, at % (hi - lo) + lo
             keep = skipped.kept(i, j)
+            if once:
+                keep &= i <= j
             i, j = i[keep], j[keep]
             score = exact_scores(a, b, i, j, False)
             keep = score <= radius

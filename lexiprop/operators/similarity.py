@@ -169,14 +169,20 @@ def similarity_join(
             codes.append(equal_codes(aex, bex, False))
         return Skipped(codes)
 
-    def close_pairs(avec, bvec, akey, bkey, aex, bex, both_ways: bool):
-        """``(i, j, score, flipped)`` of the closest pairs of every left row (and, if ``both_ways``, of every right row)."""
+    def close_pairs(avec, bvec, akey, bkey, aex, bex, both_ways: bool, one_block: bool = False):
+        """``(i, j, score, flipped)`` of the closest pairs of every left row (and, if ``both_ways``, of every right row).
+
+        ``one_block``: both sides are the same rows; a distance is then worked out from one end and given from both.
+        """
         skip = skipped(akey, bkey, aex, bex)
         if k is None:
-            for i, j, score in within(avec, bvec, radius, skip):
+            for i, j, score in within(avec, bvec, radius, skip, one_block):
                 yield i, j, score, False
                 if both_ways:
                     yield i, j, score, True
+                elif one_block:
+                    others = i != j
+                    yield i[others], j[others], score[others], True
             return
         for i, j, score in nearest(avec, bvec, k, use_dot, order_of(bkey), skip):
             yield i, j, score, False
@@ -215,7 +221,7 @@ def similarity_join(
             return pa.RecordBatch.from_arrays([pa.repeat(part, len(score)), src, dst, pa.array(score)], ["part", "src", "dst", "score"])
 
         waiting: list = []
-        for found in close_pairs(avec, bvec, akey, bkey, aex, bex, symmetric and not one_block):
+        for found in close_pairs(avec, bvec, akey, bkey, aex, bex, symmetric and not one_block, one_block):
             waiting.append(found)
             if sum(len(x[0]) for x in waiting) >= _BATCH_PAIRS:
                 yield rows_of(waiting)

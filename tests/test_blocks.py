@@ -56,6 +56,34 @@ def test_within_radius_far_from_the_origin(monkeypatch):
     assert got == set(zip(*(x.tolist() for x in np.nonzero(_distances(v, v) <= 2.5))))
 
 
+def test_a_block_with_itself_works_a_distance_out_once(monkeypatch):
+    monkeypatch.setattr(bk, "_ROWS", 16)
+    monkeypatch.setattr(bk, "_COLS", 32)
+    v, tiles, scored = _vectors(400), [], []
+    tile, exact = bk._Product.tile, bk.exact_scores
+    monkeypatch.setattr(bk._Product, "tile", lambda self, *at: tiles.append(at) or tile(self, *at))
+    monkeypatch.setattr(bk, "exact_scores", lambda a, b, i, j, dot: scored.append(len(i)) or exact(a, b, i, j, dot))
+    d, seen = _distances(v, v), []
+    for i, j, score in bk.within(v, v, 1.5, _nothing(), True):
+        assert np.allclose(score, d[i, j])
+        seen += zip(i.tolist(), j.tolist())
+    want = np.triu(d <= 1.5)
+    assert len(seen) == len(set(seen)) and set(seen) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+    assert sum(scored) < 1.05 * want.sum() and len(tiles) < 0.6 * 25 * 13
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+@pytest.mark.parametrize("block_rows", [1000, 40])
+def test_radius_join_within_a_block_gives_both_ends_and_each_row_itself_once(spark, monkeypatch, exclude, block_rows):
+    v = _vectors(130)
+    df = _frame(spark, v).withColumn("word", F.when(F.col("word") < 125, F.col("word")).otherwise(F.lit(3).cast("long")))  # a word with several vectors
+    word = [i if i < 125 else 3 for i in range(130)]
+    d = _distances(v, v)
+    want = sorted((word[i], word[j], round(d[i, j], 9)) for i, j in zip(*np.nonzero(d <= 2.0)) if not (exclude and word[i] == word[j]))
+    got = si.similarity_join(df, df, left_id="word", right_id="word", radius=2.0, exclude_same_id=exclude, block_rows=block_rows).collect()
+    assert sorted((r.src, r.dst, round(r.score, 9)) for r in got) == want
+
+
 def test_null_ids_match_each_other_and_null_values_nothing():
     a, b = bk.equal_codes(np.array(["x", None], object), np.array([None, "x", "y"], object), True)
     assert (a[:, None] == b[None]).tolist() == [[False, True, False], [True, False, False]]
