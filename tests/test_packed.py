@@ -68,3 +68,23 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert fs.exists(at)
     se.forget(first)
     assert not fs.exists(at)
+
+
+@pytest.mark.parametrize("method", ["label_propagation", "label_spreading"])
+def test_diffusion_leaves_its_last_state_only(spark, monkeypatch, method):
+    from lexiprop.operators import propagate as pr
+
+    written, gone = [], []
+    monkeypatch.setattr(pr, "cut_lineage", lambda df: written.append(se.cut_lineage(df)) or written[-1])
+    monkeypatch.setattr(pr, "forget", lambda *spent: gone.extend(spent) or se.forget(*spent))
+    edges = spark.createDataFrame([(a, b, 1.0) for a in range(6) for b in range(6) if abs(a - b) == 1], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(1, w, w if w in (0, 5) else -1) for w in range(6)], "split_id int, word long, y_train int")
+    found = []
+    for least in (0, 1 << 20):
+        monkeypatch.setattr(pr, "STEP_EDGES", least)
+        written.clear(), gone.clear()
+        rows = pr.propagate(edges, labels, method, iterations=4, checkpoint_every=3).collect()
+        found.append(sorted((r.word, r.y_pred, round(r.y_conf, 9)) for r in rows))
+        # labels, graph and hubs are written, then every step or the third and the last
+        assert len(written) == 3 + (4 if least == 0 else 2) and len(gone) == len(written) - 3
+    assert found[0] == found[1] and written[-1].count() > 0
