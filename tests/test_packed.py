@@ -88,3 +88,37 @@ def test_diffusion_leaves_its_last_state_only(spark, monkeypatch, method):
         # labels, graph and hubs are written, then every step or the third and the last
         assert len(written) == 3 + (4 if least == 0 else 2) and len(gone) == len(written) - 3
     assert found[0] == found[1] and written[-1].count() > 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot"])
+def test_block_pairs_in_rounds_find_the_same(spark, monkeypatch, metric):
+    from lexiprop.operators import similarity as si
+
+    rng = np.random.default_rng(6)
+    rows = [(f"w{i}", rng.integers(0, 4, 3).astype(float).tolist()) for i in range(40)]  # many ties
+    left = spark.createDataFrame(rows, "word string, vector array<double>")
+    right = spark.createDataFrame(rows[::2], "word string, vector array<double>")
+    for other in (left, right):
+        found, tables = [], []
+        monkeypatch.setattr(si, "stored", lambda df, name: tables.append(name) or se.stored(df, name))
+        for cells in (1, 1 << 29):
+            monkeypatch.setattr(si, "ROUND_CELLS", cells)
+            near = si.similarity_join(left, other, left_id="word", right_id="word", k=3, metric=metric, exclude_same_id=True, block_rows=9)
+            found.append(sorted(map(tuple, near.collect())))
+        assert len(tables) == 3 and found[0] == found[1] and len(found[0]) == 120
+
+
+def test_subword_means_by_slices_are_the_same(spark, monkeypatch):
+    from lexiprop.operators import embed as em
+
+    rng = np.random.default_rng(2)
+    rows = [(a + b, rng.normal(size=7).tolist()) for a in ("haus", "baum") for b in ("tür", "", "werk")]
+    vectors = spark.createDataFrame(rows, "word string, vector array<double>")
+    counts = spark.createDataFrame([(w, k + 1) for k, (w, _) in enumerate(rows)], "word string, count long")
+    found, tables = [], []
+    monkeypatch.setattr(em, "stored", lambda df, name: tables.append(name) or se.stored(df, name))
+    for cells in (1, 250, 1 << 28):
+        monkeypatch.setattr(em, "SLICE_CELLS", cells)
+        found.append({r.word: r.vector for r in em.projection_subword(vectors, counts).collect()})
+    assert tables.count("means") > 7 and found[0].keys() == {w for w, _ in rows}
+    assert all(np.allclose(found[i][w], found[2][w], atol=1e-12) for i in (0, 1) for w, _ in rows)
