@@ -122,3 +122,21 @@ def test_subword_means_by_slices_are_the_same(spark, monkeypatch):
         found.append({r.word: r.vector for r in em.projection_subword(vectors, counts).collect()})
     assert tables.count("means") > 7 and found[0].keys() == {w for w, _ in rows}
     assert all(np.allclose(found[i][w], found[2][w], atol=1e-12) for i in (0, 1) for w, _ in rows)
+
+
+def test_class_numbers_beyond_32_bits(spark):
+    from lexiprop.operators import evaluate as ev
+    from lexiprop.plans.expansion import expand_thesaurus
+
+    vectors = spark.createDataFrame([(f"{g}{i}", [float(g == "a"), float(g == "b"), i / 100]) for g in "ab" for i in range(6)], "word string, vector array<double>")
+    most = []
+    for kind, base in (("long", 3_000_000_000), ("long", 7), ("int", 7)):
+        rows = [(f"{g}{i}", base + (g == "b")) for g in "ab" for i in range(6)]
+        evaluation, _ = expand_thesaurus(vectors, spark.createDataFrame(rows, f"word string, synset {kind}"))
+        assert {r.y_pred for r in evaluation.collect()} == {base, base + 1}
+        stats = ev.evaluate(evaluation)
+        assert dict(stats.dtypes)["max_group_id"] == ("bigint" if kind == "long" else "int")
+        row = stats.first()
+        assert row.accuracy == 1.0 and row.mean_within_top3 == 1.0
+        most.append(row.max_group_id - base)
+    assert most == [0, 0, 0]
